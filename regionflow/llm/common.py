@@ -20,6 +20,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,8 +48,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Rows that Spark hands to Python at once; a few hundred long documents fit beside the heap.
+BATCH_ROWS = 400
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows, as texts can be long. The session keeps a smaller setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with one call per bounded slice of each batch."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

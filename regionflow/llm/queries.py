@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import avi, bpe, langid, mixing, perplexity, quality
+from regionflow.llm import avi, bpe, langid, mixing, ngram_join, perplexity, quality, suffixes
 from regionflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), ngram_join.Rule(3, (90, 100)))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(documents, langid.train(documents))
@@ -39,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(mixed).select("doc_id", "size", "source_size", "target", "taken", "passes", "position")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,10 +56,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
