@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import avi, bpe, langid, mixing, ngram_join, perplexity, quality, suffixes
+from regionflow.llm import avi, bpe, langid, mixing, ngram_join, perplexity, quality, suffixes, warc
 from regionflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out().alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.look_up(pages, *warc.archive(pages))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
+    "op4_warc": op4_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
