@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import avi, bpe, langid, mixing, ngram_join, perplexity, quality, suffixes, warc
+from regionflow.llm import avi, bpe, extraction, langid, mixing, ngram_join, perplexity, quality, suffixes, warc
 from regionflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.look_up(pages, *warc.archive(pages))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"), extraction.trained())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
     "op4_warc": op4_warc,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
