@@ -95,21 +95,22 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """Rows (id, source, size, source_size, target, taken, passes, position), a row for each row of df.
+    """Rows (id, source, text_hash, size, source_size, target, taken, passes, position, positions), one for each row of df.
 
     size: words (null text: 0). A source's rows stand in a fixed pseudo-random order on a line as long as its
     size; the mix reads the line from its start, over and over, until the target is reached, so a source's
     taken words add up to its target but for less than a word, and the last row may be taken in part. passes:
-    how often a row is begun. position: where in the mixed stream the row's first pass begins, null if it is
-    not taken. Equal rows have equal sizes but places of their own; empty tables give no rows.
+    how often a row is begun. positions: where in the mixed stream its passes begin; position: the first of them,
+    null if it is not taken. Equal rows have equal sizes but places of their own; empty tables give no rows.
     """
-    row = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     base = cut(
         df.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit("mixing order"), row).alias("order"),
+            text_hash.alias("text_hash"),
+            F.xxhash64(F.lit("mixing order"), F.col(id_col), text_hash).alias("order"),
         )
     )
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
@@ -140,15 +141,23 @@ def mix(
     taken = sum((part(F.col("goal") - k * F.col("source_size")) for k in range(1, rounds)), part(F.col("goal")))
     passes = sum(((F.col("goal") - k * F.col("source_size") > F.col("start")) & (F.col("size") > 0)).cast("int") for k in range(rounds))
     lined = lined.withColumn("taken", taken).withColumn("passes", passes)
-    share = F.when(F.col("target") > 0, F.least(F.col("start") / F.col("target"), F.lit(1.0)))
     kinds = sorted({s.weight for s in plan})
+    demand = {w: sum(s.target for s in plan if s.weight == w) for w in kinds}
     flat = ((0.0, 1.0), (1.0, 1.0))
-    time = F.lit(None).cast("double")
-    for w in kinds:
-        time = F.when(F.col("weight") == w, _time(share, schedules.get(w, flat))).otherwise(time)
-    lined = lined.withColumn("time", F.when(F.col("taken") > 0, time))
-    demand = sum((F.lit(sum(s.target for s in plan if s.weight == w)) * _given(F.col("time"), schedules.get(w, flat)) for w in kinds), F.lit(0.0))
-    return lined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "passes", F.round(demand, 3).alias("position"))
+
+    def position(k: int) -> Column:
+        share = F.least((F.col("start") + k * F.col("source_size")) / F.col("target"), F.lit(1.0))
+        time = F.lit(None).cast("double")
+        for w in kinds:
+            time = F.when(F.col("weight") == w, _time(share, schedules.get(w, flat))).otherwise(time)
+        at = sum((F.lit(demand[w]) * _given(time, schedules.get(w, flat)) for w in kinds), F.lit(0.0))
+        return F.when(F.col("passes") > k, F.round(at, 3))
+
+    lined = lined.withColumn("positions", F.filter(F.array(*(position(k) for k in range(rounds))), lambda x: x.isNotNull()))
+    return lined.select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "text_hash", "size", "source_size", "target",
+        F.col("taken").cast("long").alias("taken"), "passes", F.get("positions", F.lit(0)).alias("position"), "positions",
+    )
 
 
 def stream(df: DataFrame, parts: int | None = None, position_col: str = "position") -> DataFrame:

@@ -449,9 +449,9 @@ def _finish(bodies: bool):
         for a, b, items in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), strict=True):
             stretches = _merged(items)
             kept = _kept(raw[a:b], stretches)
-            out.append((sum(y - x for x, y in stretches), len(stretches), hashlib.sha256(kept).hexdigest(), kept if bodies else None))
+            out.append((sum(y - x for x, y in stretches), len(stretches), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if bodies else None))
         n, many, sha, kept = zip(*out, strict=True)
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(many, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], ["text", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(many, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["text", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
@@ -463,7 +463,7 @@ def _partly(df: DataFrame, rows: DataFrame, spans: DataFrame, id_col: str, text_
     body = F.coalesce(F.col(text_col), F.lit(""))
     own = df.select(F.col(id_col).alias("id"), body.alias("body"), F.xxhash64(body, F.lit(17)).alias("text"))
     joined = own.join(gone, (own["text"] == gone["text"]) & own["id"].eqNullSafe(gone["one"]))
-    return map_batches(joined.select(own["text"], "gone", "body"), _finish(bodies), "text bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return map_batches(joined.select(own["text"], "gone", "body"), _finish(bodies), "text bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -491,12 +491,10 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows, spans = removed(df, id_col, text_col)
     part = _partly(df, rows, spans, id_col, text_col, True).select(F.col("text").alias("_part"), F.col("kept").alias("_kept"), F.lit(False).alias("_whole"))
-    whole = rows.filter("whole").select(F.col("text").alias("_part"), F.lit(None).cast("binary").alias("_kept"), F.lit(True).alias("_whole")).distinct()
+    whole = rows.filter("whole").select(F.col("text").alias("_part"), F.lit(None).cast("string").alias("_kept"), F.lit(True).alias("_whole")).distinct()
     fate = cut(part.dropDuplicates(["_part"]).unionByName(whole))
     body = F.coalesce(F.col(text_col), F.lit(""))
     joined = df.join(fate, F.xxhash64(body, F.lit(17)) == F.col("_part"), "left")
-    left = F.when(F.col("_whole"), F.lit("")).when(F.col("_kept").isNotNull(), F.decode(F.col("_kept"), "UTF-8")).otherwise(F.col(text_col))
-    text = F.replace(left, F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.col("_kept").isNotNull(), text).otherwise(left)
+    text = F.when(F.col("_whole"), F.lit("")).otherwise(F.coalesce(F.col("_kept"), F.col(text_col)))
     emptied = F.col("_part").isNotNull() & (F.length(text) == 0)
     return joined.withColumns({text_col: text, "emptied": emptied}).drop("_part", "_kept", "_whole")
