@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised kernel holds at once; a longer document is held alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: White space that separates words: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)

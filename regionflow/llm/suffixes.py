@@ -22,7 +22,7 @@ from regionflow.llm.common import cut, map_batches, mix, powers, slices, utf8
 WINDOW, GRAM = 200, 32
 WORD_BYTES = 8
 #: Bytes of segments that one suffix array holds; groups of segments beyond it go by their windows' hashes.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 
 _LONGEST = 1 << 22  # positions that fit beside a hash in one sort key
 
@@ -294,7 +294,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
                 a, c, own, start, size = segments(*utf8(part.column(1)))
                 if len(a):
                     held.append((a, c, part.column(0).to_numpy()[own], start.astype(np.int32), size.astype(np.int32)))
-                if sum(len(x[0]) for x in held) > 2_000_000:
+                if sum(len(x[0]) for x in held) > 500_000:
                     yield from hand_over()
                     held.clear()
         if held:
