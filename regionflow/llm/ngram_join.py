@@ -8,9 +8,9 @@ One tree over all texts can't be spread over machines, as random texts have like
 route: two texts whose sets differ in at most D shingles agree in at least one of D + 1 groups. Texts that hold
 equal content in one group form a block; each block has its own tree, and no pair is lost.
 
-Texts with equal sets are one class and stand for each other. The first round links the members of a block to
-its first member; the second searches, with the trees, the blocks that still join several components. So
-thousands of versions of one text cost as many links, not their square, and components are exact.
+Texts with equal sets are one class and stand for each other. The first rounds pair the members of a block with
+one of them; then the trees search the blocks that still join several components. So thousands of versions of
+one text mostly cost as many pairs, not their square, and components are exact.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from regionflow.llm.common import cut, lower_ascii, map_batches, mix, slices, span_hashes, utf8, word_spans
 
 #: Coordinates of a point.
-COORDINATES = 32
+COORDINATES = 128
 #: Children of a tree's node.
 FANOUT = 16
 #: Steps between the set sizes that share one number of groups.
 BAND = 1.5
+#: Rounds that link blocks' members to one of them before the trees search what is left.
+STAR_ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,13 @@ def _ranges(s: np.ndarray, groups: int) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.diff(_ranges(s, COORDINATES)).astype(np.int32)
+    return np.minimum(np.diff(_ranges(s, COORDINATES)), 65_535).astype(np.uint16)
+
+
+def most_common(x: np.ndarray, n_x: np.ndarray, y: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap: the sum of coordinate minima, and what the coordinates could not hold."""
+    beyond = np.minimum(n_x - x.sum(-1, dtype=np.int64), n_y - y.sum(-1, dtype=np.int64))
+    return np.minimum(x, y).sum(-1, dtype=np.int64) + beyond
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -138,38 +146,42 @@ class PointTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         self.order = np.lexsort((*points.T[: COORDINATES // 4], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        top, low, high = self.points, self.sizes, self.sizes
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        self.beyond = self.sizes - self.points.sum(1, dtype=np.int64)
+        top, low, high, most = self.points, self.sizes, self.sizes, self.beyond
         while len(top) > FANOUT:
             at = np.arange(0, len(top), FANOUT)
-            top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            self.levels.append((top, low, high))
+            top, low, high, most = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(most, at)
+            self.levels.append((top, low, high, most))
 
     def search(self, point_: np.ndarray, size: int, rule: Rule) -> np.ndarray:
         """Members whose overlap with the point could suffice, as indexes of the points given."""
         small, large = -(-size * rule.share[0] // rule.share[1]), rule.largest(size)
+        beyond = size - int(point_.sum(dtype=np.int64))
         live = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.points))
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = (x[live] for x in self.levels[depth])
+            live = live[(self.levels[depth][1][live] <= large) & (self.levels[depth][2][live] >= small)]
+            top, low, _, most = (x[live] for x in self.levels[depth])
             need = rule.overlap(np.maximum(low, small), np.int64(size))
-            live = live[(np.minimum(top, point_).sum(1) >= need) & (low <= large) & (high >= small)]
+            live = live[np.minimum(top, point_).sum(1, dtype=np.int64) + np.minimum(most, beyond) >= need]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             live = (live[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             live = live[live < below]
-        enough = np.minimum(self.points[live], point_).sum(1) >= rule.overlap(self.sizes[live], np.int64(size))
-        return self.order[live[enough]]
+        live = live[(self.sizes[live] <= large) & (self.sizes[live] >= small)]
+        common = np.minimum(self.points[live], point_).sum(1, dtype=np.int64) + np.minimum(self.beyond[live], beyond)
+        return self.order[live[common >= rule.overlap(self.sizes[live], np.int64(size))]]
 
 
 def signatures(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n, fp, point) for each row of df; a set without shingles has a null fp."""
+    """Rows (id, n, fp) for each row of df; a set without shingles has a null fp."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*utf8(batch.column(1)), rule.words)
         fps = [fingerprint(s) if len(s) else None for s in sets]
-        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())], ["id", "n", "fp", "point"])
+        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64())], ["id", "n", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, text_col), run, f"id {kind}, n bigint, fp bigint, point binary")
+    return map_batches(df.select(id_col, text_col), run, f"id {kind}, n bigint, fp bigint")
 
 
 def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
@@ -220,7 +232,7 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
                         keys.append(own)
                         fps.append(np.full(len(own), fingerprint(s), np.int64))
                         held += len(own)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield from hand_over()
                     keys.clear(), fps.clear()
                     held = 0
@@ -251,22 +263,29 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     sent = df.select(text_col).mapInArrow(send, "place bigint, open boolean, keys binary, fps binary")
     met = sent.repartition(parts, "place").mapInArrow(meet, "key bigint, fp bigint")
     several = met.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    return met.join(several.select("key", "low"), "key").select("key", "fp", "low").distinct()
+    return met.join(several.select("key"), "key", "left_semi").distinct()
 
 
-def verify(pairs: DataFrame, df: DataFrame, known: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) of classes whose sets link, by one text of each class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = known.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("one"))
+def members(met: DataFrame, df: DataFrame, known: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Rows (fp, n, point, members) of the classes in blocks, from one text of each; dealt by fp, for the joins to come."""
+    one = known.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("one"))
+    texts = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(one, F.col("text_id").eqNullSafe(F.col("one")))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shingle_sets(*utf8(batch.column(1)), rule.words)
         fps = [fingerprint(s) if len(s) else None for s in found]
         keep = [i for i, (x, y) in enumerate(zip(fps, batch.column(0).to_pylist(), strict=True)) if x == y]
-        return pa.record_batch([pa.array([fps[i] for i in keep], pa.int64()), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["fp", "members"])
+        found = [found[i] for i in keep]
+        columns = [pa.array([fps[i] for i in keep], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([point(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+        return pa.record_batch(columns, ["fp", "n", "point", "members"])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = map_batches(texts.select("fp", "text"), sets, "fp bigint, n bigint, point binary, members binary")
+    return cut(made.repartition(parts, "fp").dropDuplicates(["fp"]))
 
-    texts = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(one, F.col("text_id").eqNullSafe(F.col("one")))
-    held = cut(map_batches(texts.select("fp", "text"), sets, "fp bigint, members binary").dropDuplicates(["fp"]))
+
+def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """Those pairs (a, b) of classes whose sets link."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, bool)
@@ -278,19 +297,20 @@ def verify(pairs: DataFrame, df: DataFrame, known: DataFrame, rule: Rule, id_col
         chosen = pa.array(np.flatnonzero(keep))
         return pa.record_batch([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
 
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("members").alias("y")), "b")
+    sets = held.select("fp", "members")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return map_batches(both.select("a", "b", "x", "y"), check, "a bigint, b bigint")
 
 
-def bounded(pairs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+def bounded(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
     """Those pairs whose sum of coordinate minima could suffice."""
-    points = known.select("fp", "n", "point").dropDuplicates(["fp"])
+    points = held.select("fp", "n", "point")
     both = pairs.join(points.toDF("a", "n_a", "p_a"), "a").join(points.toDF("b", "n_b", "p_b"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(utf8(batch.column(i))[0].tobytes(), np.int32).reshape(-1, COORDINATES) for i in (2, 3))
+        x, y = (np.frombuffer(utf8(batch.column(i))[0].tobytes(), np.uint16).reshape(-1, COORDINATES) for i in (2, 3))
         n = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
-        keep = pa.array(np.flatnonzero(np.minimum(x, y).sum(1) >= rule.overlap(n[0], n[1])))
+        keep = pa.array(np.flatnonzero(most_common(x, n[0], y, n[1]) >= rule.overlap(n[0], n[1])))
         return pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     return map_batches(both.select("a", "b", "p_a", "p_b", "n_a", "n_b"), run, "a bigint, b bigint")
@@ -317,7 +337,7 @@ def tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
                 if k != key:
                     yield from close()
                     key, held = k, []
-                held.append((row[0], row[1], np.frombuffer(row[2], np.int32), row[3]))
+                held.append((row[0], row[1], np.frombuffer(row[2], np.uint16), row[3]))
         yield from close()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -325,6 +345,20 @@ def tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
+def stars(rest: DataFrame, turn: int) -> DataFrame:
+    """A pair for each class in blocks (key, fp, part): with one member, another in each turn, of one of its blocks."""
+    centre = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("c"), F.col("part").alias("p"))).alias("m"))
+    apart = rest.join(centre, "key").filter("part != m.p").groupBy("fp").agg(F.min("m").alias("m"))
+    return apart.select(F.least("fp", "m.c").alias("a"), F.greatest("fp", "m.c").alias("b")).distinct()
+
+
+def unsettled(met: DataFrame, part: DataFrame | None) -> DataFrame:
+    """Rows (key, fp, part) of the blocks that join several components."""
+    placed = met.withColumn("part", F.col("fp")) if part is None else met.join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
+    return placed.join(mixed.select("key"), "key", "left_semi").select("key", "fp", "part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (fp, part): the smallest class that each linked class reaches.
 
@@ -352,17 +386,22 @@ def join(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: s
     """
     known = cut(signatures(df, rule, id_col, text_col))
     met = cut(blocks(df, rule, text_col))
-    stars = met.filter("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    links = cut(verify(cut(bounded(stars, known, rule)), df, known, rule, id_col, text_col))
-    part = components(links)
-    points = known.filter("fp is not null").select("fp", "n", "point").dropDuplicates(["fp"])
-    placed = met.join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(points, "fp")
-    tried = stars.withColumn("tried", F.lit(True))
-    more = cut(tree_pairs(rest, rule).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        part = components(links.union(verify(more, df, known, rule, id_col, text_col)))
+    held = members(met, df, known, rule, id_col, text_col)
+    links, part, rest = None, None, met.withColumn("part", F.col("fp"))
+    for turn in range(STAR_ROUNDS + 1):
+        if turn < STAR_ROUNDS:
+            found = cut(verify(cut(bounded(stars(rest, turn), held, rule)), held, rule))
+        else:
+            found = cut(verify(cut(tree_pairs(rest.join(held.select("fp", "n", "point"), "fp"), rule)), held, rule))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            part = components(links)
+        if turn < STAR_ROUNDS:
+            rest = cut(unsettled(met, part))
+            if rest.isEmpty():
+                break
+    if part is None:
+        part = known.select("fp", F.col("fp").alias("part")).limit(0)
     smallest = known.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("least")).join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     ids = smallest.groupBy("part").agg(F.min("least").alias("component"))
     classes = smallest.join(ids, "part").select(F.col("fp").alias("class"), "component")
