@@ -10,21 +10,25 @@ LEAST_PROBABILITY = 1e-7
 LUMA = (19595, 38470, 7471, 32768)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, also inside the lambdas that `use` makes."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
 def softmax(logits: Column) -> Column:
     """Shifted by the largest; uniform if nothing has mass."""
-    raised = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = _sum(raised)
-    return F.transform(raised, lambda e: F.when(total > 0, F.try_divide(e, total)).otherwise(F.try_divide(F.lit(1.0), F.size(logits))))
+    raised = lambda top: F.transform(logits, lambda x: F.exp(x - top))
+    share = lambda e, total: F.when(total > 0, F.try_divide(e, total)).otherwise(F.try_divide(F.lit(1.0), F.size(logits)))
+    return let(F.array_max(logits), lambda top: let(raised(top), lambda es: let(_sum(es), lambda total: F.transform(es, lambda e: share(e, total)))))
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    norm = top + F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top))))
-    return F.transform(logits, lambda x: x - norm)
+    norm = lambda top: top + F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top))))
+    return let(F.array_max(logits), lambda top: let(norm(top), lambda n: F.transform(logits, lambda x: x - n)))
 
 
 def entropy(probabilities: Column) -> Column:
@@ -61,16 +65,15 @@ def rescaled(value: Column) -> Column:
 
 def upper_median(values: Column) -> Column:
     """The element at half the length of the sorted array; no interpolation."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+    return let(F.array_sort(values), lambda ordered: F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")))
 
 
 def banned_next(tokens: Column, n: int = 3) -> Column:
     """Tokens that would repeat an n-gram if they came next, in order of their first use."""
     have, head = F.size(tokens), n - 1
-    last = F.slice(tokens, F.greatest(have - head + 1, F.lit(1)), F.lit(head))
+    tail = F.slice(tokens, F.greatest(have - head + 1, F.lit(1)), F.lit(head))
     starts = F.sequence(F.lit(1), F.greatest(have - head, F.lit(1)))
-    repeated = F.filter(starts, lambda i: (F.slice(tokens, i, F.lit(head)) == last) & (i + head <= have))
+    repeated = let(tail, lambda last: F.filter(starts, lambda i: (F.slice(tokens, i, F.lit(head)) == last) & (i + head <= have)))
     following = F.array_distinct(F.transform(repeated, lambda i: F.element_at(tokens, (i + head).cast("int"))))
     return F.when(have < n, F.array().cast("array<bigint>")).otherwise(following.cast("array<bigint>"))
 

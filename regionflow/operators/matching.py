@@ -82,8 +82,9 @@ def filter_cost(found: DataFrame, truth: DataFrame, reason: Column, least: float
 def innermost(boxes: DataFrame) -> DataFrame:
     """(page_id, idx, container): the smallest other box that holds each box's centre, ties by idx; null if none does."""
     a, b = prefixed(boxes.select("page_id", "idx", "x", "y", "w", "h"), "a_"), prefixed(boxes.select("page_id", "idx", "x", "y", "w", "h"), "b_")
-    on = (a["page_id"] == b["page_id"]) & (F.col("a_idx") != F.col("b_idx")) & g.centre_inside(g.box("b_"), g.box("a_"))
-    joined = a.join(b, on, "left").drop(b["page_id"])
+    b = b.withColumnRenamed("page_id", "b_page")
+    on = (F.col("page_id") == F.col("b_page")) & (F.col("a_idx") != F.col("b_idx")) & g.centre_inside(g.box("b_"), g.box("a_"))
+    joined = a.join(b, on, "left")
     return joined.groupBy("page_id", F.col("a_idx").alias("idx")).agg(F.min(F.when(F.col("b_idx").isNotNull(), F.struct(g.area(g.box("b_")).alias("area"), "b_idx"))).alias("m")).select("page_id", "idx", F.col("m.b_idx").alias("container"))
 
 

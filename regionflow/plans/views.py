@@ -80,10 +80,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pseudo-engines' answers for each benchmark item in ASCII: as it is, upper-cased, cut short."""
     b = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
     i = F.col("item_id")
+
+    def engine(k: int, answer, confidence, brier):
+        values = (("engine", F.lit(k).cast("long")), ("answer", answer), ("confidence", (confidence / 100.0).cast("double")), ("brier", F.lit(brier).cast("double")))
+        return F.struct(*(v.alias(n) for n, v in values))
+
     engines = F.array(
-        F.struct(F.lit(0).cast("long").alias("engine"), F.col("text").alias("answer"), ((i * 31 % 50 + 50) / 100.0).alias("confidence"), F.lit(0.05).alias("brier")),
-        F.struct(F.lit(1).cast("long"), F.when(i % 3 == 0, F.col("text")).otherwise(F.upper("text")), ((i * 17 % 60 + 40) / 100.0), F.lit(0.2)),
-        F.struct(F.lit(2).cast("long"), F.expr("substring(text, 1, length(text) - cast(item_id % 9 as int))"), ((i * 7 % 70 + 30) / 100.0), F.lit(None).cast("double")),
+        engine(0, F.col("text"), i * 31 % 50 + 50, 0.05),
+        engine(1, F.when(i % 3 == 0, F.col("text")).otherwise(F.upper("text")), i * 17 % 60 + 40, 0.2),
+        engine(2, F.expr("substring(text, 1, length(text) - cast(item_id % 9 as int))"), i * 7 % 70 + 30, None),
     )
     return b.select(i.alias("region_id"), F.col("text").alias("expected"), F.explode(engines).alias("e")).select("region_id", "expected", "e.*")
 
