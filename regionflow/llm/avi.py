@@ -274,7 +274,8 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
                 for k, v in zip(rows, (i, c, a, b - a, a / layout.rate, b / layout.rate, float(d[a]), float(x[a:b].mean())), strict=True):
                     rows[k].append(v)
         own = batch.column(0).take(pa.array(rows.pop("at"), pa.int64()))
-        return pa.record_batch([own, *(pa.array(v) for v in rows.values())], [id_col, "clip", "first_frame", "n_frames", "start_s", "end_s", "change", "mean_level"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4)
+        return pa.record_batch([own, *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], [id_col, "clip", "first_frame", "n_frames", "start_s", "end_s", "change", "mean_level"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_batches(df.select(id_col, media_col), run, f"`{id_col}` {kind}, clip bigint, first_frame bigint, n_frames bigint, start_s double, end_s double, change double, mean_level double")

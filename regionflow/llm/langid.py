@@ -149,7 +149,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                             scripts += np.bincount(script[of[i] : of[i + 1]], minlength=len(SCRIPTS))
                     n = np.r_[np.bincount(slots[own], minlength=SLOTS), scripts]
                     at_slot = np.flatnonzero(n)
-                    yield pa.record_batch([pa.array([lang] * len(at_slot)), pa.array(at_slot), pa.array(n[at_slot])], ["lang", "slot", "n"])
+                    yield pa.record_batch([pa.array([lang] * len(at_slot), pa.string()), pa.array(at_slot), pa.array(n[at_slot])], ["lang", "slot", "n"])
 
     found = sample.mapInArrow(count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()), key=lambda x: x.encode())

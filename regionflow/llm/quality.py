@@ -138,7 +138,7 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int, least: float) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: float = 0.15, pairs: int = 6, pair_bins: int = 8, depth: int = 2, least: float = 2.0) -> Gam:
+def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: float = 0.15, pairs: int = 6, pair_bins: int = 8, depth: int = 2, least: float = 0.5) -> Gam:
     """Train on rows x with classes y (0 or 1). No rows: every score is 1; one class only: that class, smoothed."""
     width = x.shape[1]
     edges = [_edges(x[:, j], bins) for j in range(width)]
