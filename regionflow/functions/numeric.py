@@ -45,8 +45,9 @@ def beam_score(logprob: Column, length: Column, penalty: float = 2.0) -> Column:
 
 
 def mean_confidence(probability: Column) -> Column:
-    """Aggregate: geometric mean with a floor; 0 without rows."""
-    return F.coalesce(F.exp(F.avg(F.ln(F.greatest(probability, F.lit(LEAST_PROBABILITY))))), F.lit(0.0))
+    """Aggregate: geometric mean with a floor; nulls don't count, and without rows it is 0."""
+    floored = F.when(probability.isNotNull(), F.greatest(probability, F.lit(LEAST_PROBABILITY)))
+    return F.coalesce(F.exp(F.avg(F.ln(floored))), F.lit(0.0))
 
 
 def sequence_confidence(logprob: Column, length: Column) -> Column:

@@ -155,7 +155,7 @@ SQL: dict[str, str] = {
     "divergence_review": f"with {CANDIDATES}, d as (select a.region_id, levenshtein(a.answer, b.answer)::double / greatest(length(a.answer), length(b.answer)) as d from candidates a join candidates b using (region_id) where a.engine = 0 and b.engine = 2) select region_id, round(d, 6) as divergence, d >= 0.02 as needs_review from d",
     "panel_decision": f"with {CANDIDATES}, r as (select *, row_number() over (partition by region_id order by confidence desc, engine) as k, exp(-coalesce(brier, 0.1)) as wt from candidates), d as (select region_id, max(answer) filter (k = 1) as a, max(answer) filter (k = 2) as b, max(confidence) as confidence, sum(confidence * wt) / sum(wt) as wc from r group by 1), e as (select *, levenshtein(a, b)::double / greatest(length(a), length(b)) as dv from d) select region_id, a as selected_text, confidence, round(wc, 6) as weighted_confidence, wc >= 0.7 as is_validated, round(dv, 6) as divergence, dv >= 0.2 as needs_review from e",
     "brier_weights": "select event_id, round(exp(-least(greatest((value - 20) / 50, 0), 1)), 6) as weight from events",
-    "confidence_geomean": f"with {READINGS} select page_id, round(coalesce(exp(avg(ln(greatest(confidence, 1e-7)))), 0), 6) as confidence, count(confidence) as n from readings group by 1",
+    "confidence_geomean": f"with {READINGS} select page_id, round(coalesce(exp(avg(ln(greatest(confidence, 1e-7))) filter (confidence is not null)), 0), 6) as confidence, count(confidence) as n from readings group by 1",
     "page_rollup": "with r as (select conv_id % 53 as page_id, conv_id as region, string_agg(substr(text, 1, 12), '' order by turn) as text, avg((conv_id * 13 + turn) % 100 / 100.0::double) as c from conversations group by all) select page_id, count(*) as regions, string_agg(text, chr(10) order by region) as text, round(avg(c), 6) as confidence from r group by 1",
     "box_metrics": f"with {BOXES} select page_id, idx, w * h as area, round(w::double / h, 6) as aspect, round(x / 1000.0, 6)::double as nx, round(y / 1400.0::double, 6) as ny, round(w / 1000.0, 6)::double as nw, round(h / 1400.0::double, 6) as nh from boxes",
     "dual_rect": f"with {PANELS}, s as (select *, page_id % 3 * 500 as pw, page_id % 2 * 700 as ph from panels) select page_id, coalesce(round(x::double / nullif(pw, 0), 6), 0) as nx, coalesce(round(y::double / nullif(ph, 0), 6), 0) as ny, coalesce(round(w::double / nullif(pw, 0), 6), 0) as nw, coalesce(round(h::double / nullif(ph, 0), 6), 0) as nh from s",
