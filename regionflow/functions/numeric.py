@@ -82,3 +82,9 @@ def banned_next(tokens: Column, n: int = 3) -> Column:
 def settled(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """A usable probability: not null, not NaN, within bounds."""
     return F.coalesce(~F.isnan(value) & value.between(low, high), F.lit(False))
+
+
+def uniform(seed: Column, draw: int, low: float, high: float) -> Column:
+    """A number from low to high for each seed and draw, the same on any number of tasks and in any SQL engine."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), F.lit(str(draw)))), 1, 8), 16, 10).cast("double")
+    return F.lit(low) + bits / float(1 << 32) * (high - low)

@@ -46,3 +46,10 @@ def rolling(df: DataFrame, key: str, order: list[str], value: str, size: int = 4
 def stopped(beams: DataFrame, step: int, most: int) -> bool:
     """Is every beam finished, or the cap reached?"""
     return step >= most or (not beams.isEmpty() and beams.filter("not finished").isEmpty())
+
+
+def parents(beams: DataFrame, before: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, beam, parent): the first earlier beam that a beam extends by one token, 0 if there is none."""
+    old = before.select(F.col(key).alias("k"), F.col("beam").alias("b"), F.col("tokens").alias("head"))
+    extends = (F.col(key) == F.col("k")) & (F.size("tokens") == F.size("head") + 1) & (F.slice("tokens", 1, F.size("head")) == F.col("head"))
+    return beams.join(old, extends, "left").groupBy(key, "beam").agg(F.coalesce(F.min("b"), F.lit(0)).cast("long").alias("parent"))

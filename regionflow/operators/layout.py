@@ -56,3 +56,10 @@ def tiles(df: DataFrame, width: str = "w", height: str = "h", most: int = 3, kee
         F.when(across, at).otherwise(0).cast("long").alias("tile_x"), F.when(down, at).otherwise(0).cast("long").alias("tile_y"),
         F.when(across, side).otherwise(w).cast("long").alias("tile_w"), F.when(down, side).otherwise(h).cast("long").alias("tile_h"),
     )
+
+
+def type_size(chars: Column, along: Column, across: Column) -> tuple[Column, Column]:
+    """Runs and type size (12 to 64 pixels) of `chars` characters in a crop, along and across the writing direction."""
+    runs = F.greatest(F.round(F.sqrt(chars * across / along)), F.lit(1.0))
+    per_run = F.greatest(F.ceil(chars / runs), F.lit(1))
+    return runs.cast("long"), F.least(F.greatest(along / per_run, F.lit(12.0)), F.lit(64.0))

@@ -12,6 +12,7 @@ from regionflow.functions import numeric as m
 from regionflow.functions import text as t
 from regionflow.operators import decoding, detect, export, layout, matching, panel, stats, tokenizer, validate, vocab
 from regionflow.plans.views import PAGE, boxes, candidates, detections, logits, panels, readings, table
+from regionflow.sources import synth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -761,3 +762,54 @@ def flatten_layers(spark, sf):
     nested = layers.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("role", "regions"))).alias("layers"))
     outer = nested.select("conv_id", F.posexplode("layers").alias("li", "layer"))
     return outer.select("conv_id", *_long("li"), F.col("layer.role").alias("role"), F.posexplode("layer.regions").alias("ri", "r")).select("conv_id", "li", "role", *_long("ri"), F.col("r.text").alias("text"))
+
+
+@query
+def beam_parents(spark, sf):
+    before, found = _beams(spark, sf)
+    return decoding.parents(decoding.select_beams(before, found, 4, 3), before)
+
+
+@query
+def type_sizes(spark, sf):
+    vertical = F.col("idx") % 2 == 0
+    along, across = F.when(vertical, F.col("h")).otherwise(F.col("w")), F.when(vertical, F.col("w")).otherwise(F.col("h"))
+    runs, size = layout.type_size(F.col("p") % 40 + 1, along, across)
+    return boxes(spark, sf).select("page_id", "idx", runs.alias("runs"), F.round(size, 4).alias("size"))
+
+
+@query
+def scan_defects(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", *synth.scan_defects(F.col("page_id"), "poor"))
+    return rows.select("page_id", "jpeg_quality", *(F.round(c, 6).alias(c) for c in ("rotate_deg", "blur_sigma", "noise_sd")))
+
+
+@query
+def provenance_lookup(spark, sf):
+    """The record that a field's provenance names, by pointer, with its engine."""
+    i = F.col("region_id")
+    pointers = F.create_map(F.lit("/text"), F.concat(F.lit("r"), i % 3), F.lit("/bounds"), F.lit("r9"))
+    records = F.create_map(*(x for k in range(3) for x in (F.lit(f"r{k}"), F.lit(f"engine-{k}"))))
+    out = readings(spark, sf).select("region_id", F.explode(pointers).alias("pointer", "record"))
+    return out.select("region_id", "pointer", "record", F.try_element_at(records, F.col("record")).alias("engine"))
+
+
+@query
+def nested_ledger(spark, sf):
+    """Regions nested in pages, written as JSON and read again."""
+    item = F.struct("region_id", "state", "confidence")
+    pages_ = readings(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("regions"))
+    text = F.to_json(F.struct("page_id", "regions"), {"ignoreNullFields": "false"})
+    back = F.from_json(text, "page_id bigint, regions array<struct<region_id: bigint, state: string, confidence: double>>")
+    flat = pages_.select(back.alias("b")).select("b.page_id", F.size("b.regions").cast("long").alias("n"), F.posexplode("b.regions").alias("k", "r"))
+    return flat.select("page_id", "n", *_long("k"), "r.region_id", "r.state", "r.confidence")
+
+
+@query
+def tensor_names(spark, sf):
+    """The cache input that each cache output feeds."""
+    n = F.col("n_nationkey")
+    part = F.when(n % 2 == 0, "key").otherwise("value")
+    side = F.when(n % 3 == 0, "encoder").otherwise("decoder")
+    out = F.concat(F.lit("present."), n % 6, F.lit("."), side, F.lit("."), part)
+    return table(spark, sf, "nation").select(*_long("n_nationkey"), out.alias("output"), F.regexp_replace(out, r"^present\.", "past_key_values.").alias("input"))

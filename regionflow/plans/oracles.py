@@ -245,4 +245,10 @@ select page_id, idx, round(sum(case protection when 'hard' then common * 1000.0:
     "schema_choice": "select n_nationkey::bigint as n_nationkey, coalesce(a.r_name, b.r_name) as schema from nation left join region a on n_nationkey % 3 = 0 and a.r_regionkey = n_regionkey left join region b on b.r_regionkey = n_regionkey % 3",
     "expected_labels": "select doc_id, coalesce(substr(b.text, 1, 20), '...') as expected from documents left join benchmark b on doc_id = item_id and item_id % 2 = 0",
     "flatten_layers": "select conv_id, dense_rank() over (partition by conv_id order by role) - 1 as li, role, row_number() over (partition by conv_id, role order by turn, substr(text, 1, 10)) - 1 as ri, substr(text, 1, 10) as text from conversations",
+    "beam_parents": f"with {_BEAMS}, n as (select vec_id, 0 as kind, pos, list_append(tokens, token) as tokens, logprob + gain as logprob from beams join cands using (vec_id, beam) where not finished union all select vec_id, 1, beam, tokens, logprob from beams where finished), r as (select *, row_number() over (partition by vec_id order by logprob desc, kind, pos) - 1 as beam from n qualify beam < 4) select r.vec_id, r.beam, coalesce(min(b.beam), 0)::bigint as parent from r left join beams b on b.vec_id = r.vec_id and len(r.tokens) = len(b.tokens) + 1 and r.tokens[1:len(b.tokens)] = b.tokens group by all",
+    "type_sizes": f"with {BOXES}, a as (select page_id, idx, p % 40 + 1 as n, case when idx % 2 = 0 then h else w end as al, case when idx % 2 = 0 then w else h end as ac from boxes), r as (select *, greatest(round(sqrt(n * ac::double / al)), 1) as runs from a) select page_id, idx, runs::bigint as runs, round(least(greatest(al / greatest(ceil(n / runs), 1), 12.0), 64.0), 4)::double as size from r",
+    "scan_defects": "select page_id, floor((22 + ('0x' || substr(md5(page_id || ':0'), 1, 8))::bigint / 4294967296.0::double * (56 - (22))))::bigint as jpeg_quality, round((-4.0 + ('0x' || substr(md5(page_id || ':1'), 1, 8))::bigint / 4294967296.0::double * (4.0 - (-4.0))), 6) as rotate_deg, round((0.8 + ('0x' || substr(md5(page_id || ':2'), 1, 8))::bigint / 4294967296.0::double * (2.2 - (0.8))), 6) as blur_sigma, round((6.0 + ('0x' || substr(md5(page_id || ':3'), 1, 8))::bigint / 4294967296.0::double * (22.0 - (6.0))), 6) as noise_sd from pages",
+    "provenance_lookup": "select doc_id as region_id, p as pointer, case p when '/text' then 'r' || doc_id % 3 else 'r9' end as record, case p when '/text' then 'engine-' || doc_id % 3 end as engine from documents, unnest(['/text', '/bounds']) as u(p)",
+    "nested_ledger": f"with {READINGS} select page_id, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by region_id) - 1 as k, region_id, state, confidence from readings",
+    "tensor_names": "with n as (select n_nationkey::bigint as n_nationkey, n_nationkey % 6 || '.' || case when n_nationkey % 3 = 0 then 'encoder' else 'decoder' end || '.' || case when n_nationkey % 2 = 0 then 'key' else 'value' end as t from nation) select n_nationkey, 'present.' || t as output, 'past_key_values.' || t as input from n",
 }

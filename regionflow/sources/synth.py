@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regionflow.functions.numeric import uniform
+
+#: Ranges of scan defects by quality: JPEG quality, rotation in degrees, blur and noise.
+SCANS = {"typical": ((55, 92), (-1.5, 1.5), (0.0, 0.9), (0.0, 6.0)), "poor": ((22, 55), (-4.0, 4.0), (0.8, 2.2), (6.0, 22.0))}
 
 KINDS = ("balloon", "caption-box", "none")
 
 
+def scan_defects(seed: Column, quality: str = "typical") -> list[Column]:
+    """Four columns drawn for each seed: jpeg_quality, rotate_deg, blur_sigma, noise_sd."""
+    jpeg, *rest = (uniform(seed, i, low, high + (i == 0)) for i, (low, high) in enumerate(SCANS[quality]))
+    return [F.floor(jpeg).alias("jpeg_quality"), *(c.alias(n) for c, n in zip(rest, ("rotate_deg", "blur_sigma", "noise_sd"), strict=True))]
+
+
 def layout(seed: int, page_id: int, regions: int, size: tuple[int, int] = (400, 560), pad: int = 6) -> tuple[list[tuple], list[tuple]]:
     """Panels (x, y, w, h), split largest first, and regions (x, y, w, h, kind, panel) that don't touch."""
     rng = np.random.default_rng([seed, page_id])
