@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regionflow.session import reachable
+
 #: Size of a page in pixels.
 PAGE = (1000, 1400)
 
@@ -15,7 +17,7 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_dis
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
