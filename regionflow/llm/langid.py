@@ -83,6 +83,7 @@ class Model:
     langs: list[str]
     weights: np.ndarray
     scripts: np.ndarray
+    common: int = 0  # the language with most letters in training, for letters that no script range holds
 
     def word_scores(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         low, inside = letters(data)
@@ -102,7 +103,7 @@ def viterbi(scores: np.ndarray, of: np.ndarray, penalty: float) -> np.ndarray:
     size, first = size[order], of[:-1][order]
     steps = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(steps), "left")  # texts with more than t words
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), np.int16)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     v = np.zeros((len(size), scores.shape[1]))
     for t in range(steps):
@@ -111,7 +112,7 @@ def viterbi(scores: np.ndarray, of: np.ndarray, penalty: float) -> np.ndarray:
         if t:
             best = v.argmax(1)
             jump = (v[np.arange(k), best] - penalty)[:, None]
-            kept.append((v >= jump, best.astype(np.int8)))
+            kept.append((v >= jump, best.astype(np.int16)))
             v = np.maximum(v, jump)
         v = v + scores[first[:k] + t]
         if t + 1 < steps and live[t + 1] < k or t + 1 == steps:
@@ -159,7 +160,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     grams, scripts = counts[:SLOTS], counts[SLOTS:]
     seen = (grams.sum(1, keepdims=True) > 0).sum()
     weights = np.log((grams + 0.3) / (grams.sum(0) + 0.3 * max(seen, 1)))
-    return Model(langs, weights - weights.mean(1, keepdims=True) if langs else weights, scripts >= 0.005 * np.maximum(scripts.sum(0), 1))
+    common = int(grams.sum(0).argmax()) if langs else 0
+    return Model(langs, weights - weights.mean(1, keepdims=True) if langs else weights, scripts >= 0.005 * np.maximum(scripts.sum(0), 1), common)
 
 
 def _label(model: Model, column: pa.Array, penalty: float):
@@ -188,12 +190,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     new = np.ones(len(label), bool)
                     new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
                     spans = np.bincount(doc[new], minlength=n)
-                    real = total > 0
-                    for i in np.flatnonzero(real & ~_has_ascii(data, at)):
+                    real = _has_ascii(data, at)
+                    for i in np.flatnonzero(~real & (np.diff(at) > 0)):
                         text = data[at[i] : at[i + 1]].tobytes().decode()
                         real[i] = any(c.isalpha() for c in text)
-                    best = mass.argmax(1)
-                    share = np.where(real, mass[np.arange(n), best] / np.maximum(total, 1), 0.0)
+                    best = np.where(total > 0, mass.argmax(1), model.common)
+                    share = np.where(real & (total > 0), mass[np.arange(n), best] / np.maximum(total, 1), np.where(real, 1 / width, 0.0))
                     spans = np.where(real, spans, 0)
                     names = [model.langs[b] if r else UNKNOWN for b, r in zip(best.tolist(), real.tolist(), strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(names, pa.string()), pa.array(share), pa.array(spans)], [id_col, "lang_pred", "score", "n_spans"])

@@ -79,6 +79,8 @@ def test_hard_rows(hard, empty, clashing):
         assert rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0
     assert rows[8]["lang_pred"] != "und"
     assert all(0 <= r["score"] <= 1 for r in rows.values())
+    odd = hard.sparkSession.createDataFrame([(1, "ℂ ª"), (2, "× ÷ — “”"), (3, "٣٤"), (4, "2")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in langid.predict(odd, model).collect()} == {1: True, 2: False, 3: False, 4: False}
     nothing = langid.train(empty)
     assert nothing.langs == [] and {r["lang_pred"] for r in langid.predict(hard, nothing).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0 and langid.predict(clashing, model).count() == clashing.count()
