@@ -183,8 +183,8 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: f
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """The fifth of the rows that training never sees."""
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """The fifth of the rows that training never sees; rows without an id aren't in it, nor in training."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Gam:
