@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from regionflow.llm.common import cut
 
@@ -161,6 +162,10 @@ def mix(
 
 
 def stream(df: DataFrame, parts: int | None = None, position_col: str = "position") -> DataFrame:
-    """Rows range-sorted by position: partition after partition is the training order."""
+    """Rows range-sorted by position: partition after partition is the training order. Rows without a position follow,
+    dealt by a hash so that they don't meet in one partition."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, position_col).sortWithinPartitions(position_col)
+    simple = [f.name for f in df.schema.fields if isinstance(f.dataType, (LongType, StringType))] or df.columns
+    after = F.lit(1e18) + F.pmod(F.xxhash64(*simple), F.lit(1 << 40)).cast("double") * 1e6
+    place = F.coalesce(F.col(position_col), after)
+    return df.repartitionByRange(n, place).sortWithinPartitions(place)
