@@ -354,9 +354,10 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     base = cut(df.select(F.col(id_col).alias("id"), hashed.alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha_all")))
     classes = base.groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("one"))
     long = _texts(df, text_col).filter(F.octet_length("body") >= WINDOW)
-    met = cut(occurrences(long.select("text", "body")))
+    met = cut(occurrences(long.select("text", "body")).distinct())
     groups = met.groupBy("anchor").agg(F.min("content").alias("c0"), F.max("content").alias("c1"), F.min(F.struct("text", "start")).alias("o0"), F.max(F.struct("text", "start")).alias("o1")).filter("o0 != o1")
-    found = cut(met.join(groups.select("anchor", (F.col("c0") == F.col("c1")).alias("alike")), "anchor").distinct())
+    alike = cut(groups.select("anchor", (F.col("c0") == F.col("c1")).alias("alike")))  # both sides of the join are plain, so that a hot anchor can be split
+    found = cut(met.join(alike, "anchor"))
     settled = found.filter("alike").select("text", "start", "size")
     contents = cut(
         found.filter("not alike").groupBy("anchor", "content").agg(F.min(F.struct("text", "start", "size")).alias("first"), F.max(F.struct("text", "start", "size")).alias("last"))
