@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from regionflow.session import reachable
+
 #: Bytes of text that a vectorised kernel holds at once; a longer document is held alone.
 CHUNK_BYTES = 1 << 20
 
@@ -36,14 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise once and cut the lineage; the files lie in the shared folder, so a lost executor loses nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialise once and cut the lineage; the files lie in the shared folder, so a lost executor loses nothing.
+
+    What the result's plan knows of its partitioning stays, which saves exchanges.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """cut(), and forget the plan's constraints and size estimates as well: they multiply with every turn of a loop.
+
+    No more partitions than cores: what loops pass on is small beside the texts, and each partition costs files in
+    every exchange to come.
+    """
+    spark = df.sparkSession
+    held = cut(df.coalesce(max(1, spark.sparkContext.defaultParallelism)))._jdf
+    made = spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False)
+    return DataFrame(made, spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have the files of shuffles dropped whose results are materialised: Spark does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
@@ -52,9 +75,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 BATCH_ROWS = 400
 
 
+#: Settings of the C allocator in Python workers: large arrays go back to the system as soon as they are freed, so
+#: that a worker between tasks holds little memory.
+ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, as texts can be long. The session keeps a smaller setting of its own."""
+    """Bound Arrow batches by rows, as texts can be long, and what workers keep. The session keeps smaller settings of its own."""
+    for name, value in ALLOCATOR.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    reachable(spark)
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 

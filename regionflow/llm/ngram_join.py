@@ -8,9 +8,10 @@ One tree over all texts can't be spread over machines, as random texts have like
 route: two texts whose sets differ in at most D shingles agree in at least one of D + 1 groups. Texts that hold
 equal content in one group form a block; each block has its own tree, and no pair is lost.
 
-Texts with equal sets are one class and stand for each other. The first rounds pair the members of a block with
-one of them; then the trees search the blocks that still join several components. So thousands of versions of
-one text mostly cost as many pairs, not their square, and components are exact.
+Texts with equal sets are one class and stand for each other. The first rounds pair each class with the nearest
+centre of its blocks, and the trees with its nearest neighbours; a last search of the blocks that still join
+several components takes all pairs that the bound leaves. So thousands of versions of one text mostly cost as
+many pairs, not their square, and components are exact.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import cut, lower_ascii, map_batches, mix, slices, span_hashes, utf8, word_spans
+from regionflow.llm.common import cut, cut_in_loop, lower_ascii, map_batches, mix, slices, span_hashes, sweep, utf8, word_spans
 
 #: Coordinates of a point.
 COORDINATES = 128
@@ -30,8 +31,14 @@ COORDINATES = 128
 FANOUT = 16
 #: Steps between the set sizes that share one number of groups.
 BAND = 1.5
+#: Classes up to which the texts of blocks are found by a broadcast; beyond, texts are shuffled to them.
+BROADCAST_CLASSES = 150_000
 #: Rounds that link blocks' members to one of them before the trees search what is left.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
+#: Nearest members that the first tree round tries for each class.
+NEAREST = 2
+#: Blocks up to this size are one node, whose pairs are all bounded at once.
+LEAF = 48
 
 
 @dataclass(frozen=True)
@@ -187,12 +194,14 @@ def signatures(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
 def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     """Rows (key, fp): the classes that share a group's content with another one.
 
-    Keys travel as sorted arrays, a row for each task and range of keys. A key that several classes of one task
+    Keys travel as sorted arrays, a row for each task and range of keys, by their first 32 bits within the range;
+    two keys that agree in these share a block, which costs a search and loses nothing. A key that several classes of one task
     hold is settled there, and only its first class travels on, so that no key sends more rows than there are tasks.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = 8 * parts
     step = (1 << 64) // ranges + 1
+    shift = np.uint64(max(0, step.bit_length() - 32))
 
     def send(batches):
         keys: list[np.ndarray] = []
@@ -201,6 +210,8 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
         def hand_over():
             k, f = np.concatenate(keys), np.concatenate(fps)
+            low = k // np.uint64(step) * np.uint64(step)
+            k = low + ((k - low) >> shift << shift)
             by = np.lexsort((f, k))
             k, f = k[by], f[by]
             new_key = np.r_[True, k[1:] != k[:-1]]
@@ -211,10 +222,11 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
             known_k, known_f = k[several], f[several]
             k, f = k[new_key], f[new_key]
             place = (k // np.uint64(step)).astype(np.int64)
+            short = ((k - place.astype(np.uint64) * np.uint64(step)) >> shift).astype(np.uint32)
             at = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
             end = np.r_[at[1:], len(place)]
             yield pa.record_batch(
-                [pa.array(place[at]), pa.array([True] * len(at)), pa.array([k[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary()), pa.array([f[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary())],
+                [pa.array(place[at]), pa.array([True] * len(at)), pa.array([(short[a:b]).tobytes() for a, b in zip(at, end, strict=True)], pa.binary()), pa.array([f[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary())],
                 ["place", "open", "keys", "fps"],
             )
             cuts = range(0, len(known_k), 1 << 16)
@@ -232,7 +244,7 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
                         keys.append(own)
                         fps.append(np.full(len(own), fingerprint(s), np.int64))
                         held += len(own)
-                if held > 1_500_000:
+                if held > 750_000:
                     yield from hand_over()
                     keys.clear(), fps.clear()
                     held = 0
@@ -242,11 +254,12 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     def meet(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for is_open, k, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                k, f = np.frombuffer(k, np.uint64), np.frombuffer(f, np.int64)
+            for place, is_open, k, f in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                f = np.frombuffer(f, np.int64)
                 if is_open:
-                    held.append((k, f))
+                    held.append((np.uint64(place * step) + (np.frombuffer(k, np.uint32).astype(np.uint64) << shift), f))
                 elif len(k):
+                    k = np.frombuffer(k, np.uint64)
                     yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(f)], ["key", "fp"])
         if held:
             k, f = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -266,25 +279,45 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     return met.join(several.select("key"), "key", "left_semi").distinct()
 
 
-def members(met: DataFrame, df: DataFrame, known: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Rows (fp, n, point, members) of the classes in blocks, from one text of each; dealt by fp, for the joins to come."""
-    one = known.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("one"))
-    texts = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).join(one, F.col("text_id").eqNullSafe(F.col("one")))
+def texts_of(classes: DataFrame, df: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (fp, text): a text of each class, dealt with by a broadcast of the classes while these are few."""
+    one = cut(known.join(classes, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("one")))
+    if one.count() <= BROADCAST_CLASSES:
+        one = F.broadcast(one)
+    texts = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    return texts.join(one, F.col("text_id").eqNullSafe(F.col("one"))).select("fp", "text")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = shingle_sets(*utf8(batch.column(1)), rule.words)
-        fps = [fingerprint(s) if len(s) else None for s in found]
-        keep = [i for i, (x, y) in enumerate(zip(fps, batch.column(0).to_pylist(), strict=True)) if x == y]
-        found = [found[i] for i in keep]
-        columns = [pa.array([fps[i] for i in keep], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([point(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
-        return pa.record_batch(columns, ["fp", "n", "point", "members"])
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = map_batches(texts.select("fp", "text"), sets, "fp bigint, n bigint, point binary, members binary")
-    return cut(made.repartition(parts, "fp").dropDuplicates(["fp"]))
+def _of_class(batch: pa.RecordBatch, rule: Rule) -> tuple[pa.Array, list[np.ndarray]]:
+    """Classes and sets of those texts (fp, text) that are of the class; rows can share an id."""
+    found = shingle_sets(*utf8(batch.column(1)), rule.words)
+    keep = [i for i, (s, fp) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if len(s) and fingerprint(s) == fp]
+    return batch.column(0).take(pa.array(keep, pa.int64())), [found[i] for i in keep]
+
+
+def points_of(texts: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (fp, n, point) of texts (fp, text), dealt by fp for the joins to come."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, sets = _of_class(batch, rule)
+        return pa.record_batch([fps, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())], ["fp", "n", "point"])
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(map_batches(texts, run, "fp bigint, n bigint, point binary").repartition(parts, "fp").dropDuplicates(["fp"]))
+
+
+def sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (fp, members) of texts (fp, text), dealt by fp for the joins to come."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, sets = _of_class(batch, rule)
+        return pa.record_batch([fps, pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "members"])
 
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(map_batches(texts, run, "fp bigint, members binary").repartition(parts, "fp").dropDuplicates(["fp"]))
 
-def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+
+def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those pairs (a, b) of classes whose sets link."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,81 +330,139 @@ def verify(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
         chosen = pa.array(np.flatnonzero(keep))
         return pa.record_batch([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
 
-    sets = held.select("fp", "members")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return map_batches(both.select("a", "b", "x", "y"), check, "a bigint, b bigint")
 
 
-def bounded(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
-    """Those pairs whose sum of coordinate minima could suffice."""
-    points = held.select("fp", "n", "point")
+def similarity(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the Jaccard similarity, from one of the overlap."""
+    return common / np.maximum(a + b - common, 1)
+
+
+def bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) whose sum of coordinate minima could suffice, with the bound of their similarity as `near`."""
     both = pairs.join(points.toDF("a", "n_a", "p_a"), "a").join(points.toDF("b", "n_b", "p_b"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(utf8(batch.column(i))[0].tobytes(), np.uint16).reshape(-1, COORDINATES) for i in (2, 3))
         n = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
-        keep = pa.array(np.flatnonzero(most_common(x, n[0], y, n[1]) >= rule.overlap(n[0], n[1])))
-        return pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+        common = most_common(x, n[0], y, n[1])
+        keep = np.flatnonzero(common >= rule.overlap(n[0], n[1]))
+        chosen = pa.array(keep)
+        return pa.record_batch([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(similarity(common, *n)[keep])], ["a", "b", "near"])
 
-    return map_batches(both.select("a", "b", "p_a", "p_b", "n_a", "n_b"), run, "a bigint, b bigint")
+    return map_batches(both.select("a", "b", "p_a", "p_b", "n_a", "n_b"), run, "a bigint, b bigint, near double")
 
 
-def tree_pairs(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of members (key, fp, n, point, part) of a block that lie in different parts and pass the bound."""
+def stars(rest: DataFrame, points: DataFrame, rule: Rule, turn: int) -> DataFrame:
+    """A pair (a, b) for each class in blocks (key, fp, part, degree): with the nearest of its blocks' centres.
+
+    At first centres are the members in most blocks, as a text that others vary shares more than its versions
+    share among themselves; later turns take other members.
+    """
+    rank = -F.col("degree") if turn == 0 else F.xxhash64("fp", F.lit(turn))
+    centre = rest.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("fp").alias("c"), F.col("part").alias("p"))).alias("m"))
+    apart = rest.join(centre, "key").filter("part != m.p").select(F.col("fp").alias("a"), F.col("m.c").alias("b")).distinct()
+    return _nearest(bounded(apart, points, rule), 1)
+
+
+def _nearest(pairs: DataFrame, count: int) -> DataFrame:
+    """Pairs (a, b) in order, for each a with its `count` nearest b."""
+    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("near")).alias("far"), "b"))), 1, count).alias("s"))
+    each = best.select("a", F.explode("s.b").alias("b"))
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def tree_pairs(members: DataFrame, rule: Rule, nearest: int | None = None) -> DataFrame:
+    """Pairs (a, b) of members (key, fp, n, point, part) of a block that lie in different parts and pass the bound:
+    all of them, or for each class those with its `nearest` ones."""
+
+    def block(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fps, sizes, points, parts = (np.array(x) for x in zip(*held, strict=True))
+        if len(fps) <= LEAF:
+            common = np.minimum(points[:, None], points[None]).sum(2, dtype=np.int64)
+            beyond = sizes - points.sum(1, dtype=np.int64)
+            common += np.minimum(beyond[:, None], beyond[None])
+            i, j = np.nonzero((common >= rule.overlap(sizes[:, None], sizes[None])) & (parts[:, None] != parts[None]))
+            return fps[i], fps[j], similarity(common[i, j], sizes[i], sizes[j])
+        tree, out = PointTree(points, sizes), []
+        for i in range(len(fps)):
+            j = tree.search(points[i], int(sizes[i]), rule)
+            j = j[parts[j] != parts[i]]
+            if len(j):
+                near = similarity(most_common(points[j], sizes[j], points[i], sizes[i]), sizes[j], sizes[i])
+                if nearest and len(j) > nearest:
+                    best = np.lexsort((fps[j], -near))[:nearest]
+                    j, near = j[best], near[best]
+                out.append((np.full(len(j), fps[i]), fps[j], near))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def search(batches):
-        key, held = None, []
+        key, held, out, size = None, [], [], 0
 
         def close():
+            nonlocal size
             if len(held) > 1:
-                fps, sizes, points, parts = (np.array(x) for x in zip(*held, strict=True))
-                tree = PointTree(points, sizes)
-                for i in range(len(fps)):
-                    found = tree.search(points[i], int(sizes[i]), rule)
-                    found = found[(fps[found] > fps[i]) & (parts[found] != parts[i])]
-                    if len(found):
-                        yield pa.record_batch([pa.array(np.full(len(found), fps[i])), pa.array(fps[found])], ["a", "b"])
+                a, b, near = block(held)
+                if not nearest:
+                    a, b, near = (x[a < b] for x in (a, b, near))
+                out.append((a, b, near))
+                size += len(a)
+
+        def hand_over():
+            nonlocal size
+            a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.lexsort((b, -near, a) if nearest else (near, b, a))
+            a, b, near = a[order], b[order], near[order]
+            fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+            if nearest:  # of what this task has seen of a class, the nearest
+                a, b, near = a[fresh], b[fresh], near[fresh]
+                first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+                fresh = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < nearest
+            out.clear()
+            size = 0
+            return pa.record_batch([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(near[fresh])], ["a", "b", "near"])
 
         for batch in batches:
             for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if k != key:
-                    yield from close()
+                    close()
+                    if size > 500_000:
+                        yield hand_over()
                     key, held = k, []
                 held.append((row[0], row[1], np.frombuffer(row[2], np.uint16), row[3]))
-        yield from close()
+        close()
+        if out:
+            yield hand_over()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = members.select("key", "fp", "n", "point", "part").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return ordered.mapInArrow(search, "a bigint, b bigint").distinct()
-
-
-def stars(rest: DataFrame, turn: int) -> DataFrame:
-    """A pair for each class in blocks (key, fp, part): with one member, another in each turn, of one of its blocks."""
-    centre = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("c"), F.col("part").alias("p"))).alias("m"))
-    apart = rest.join(centre, "key").filter("part != m.p").groupBy("fp").agg(F.min("m").alias("m"))
-    return apart.select(F.least("fp", "m.c").alias("a"), F.greatest("fp", "m.c").alias("b")).distinct()
+    found = ordered.mapInArrow(search, "a bigint, b bigint, near double")
+    return _nearest(found, nearest) if nearest else found.select("a", "b").distinct()
 
 
 def unsettled(met: DataFrame, part: DataFrame | None) -> DataFrame:
-    """Rows (key, fp, part) of the blocks that join several components."""
+    """Rows (key, fp, part, degree) of the blocks that join several components."""
     placed = met.withColumn("part", F.col("fp")) if part is None else met.join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    return placed.join(mixed.select("key"), "key", "left_semi").select("key", "fp", "part")
+    return placed.join(mixed.select("key"), "key", "left_semi").select("key", "fp", "part", "degree")
 
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (fp, part): the smallest class that each linked class reaches.
 
-    Smallest labels spread along links, and labels take over their labels' labels, so that long chains take a
-    logarithmic number of rounds. Labels and links stay distributed.
+    Each class and its label take the smallest label among the class's neighbours, then labels take their labels'
+    labels: trees hook onto each other and flatten, in a logarithmic number of rounds. All stays distributed.
     """
-    edges = cut(links.union(links.select("b", "a")).toDF("u", "v").distinct())
-    labels = cut(edges.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.first("u")).alias("part")))
+    edges = cut_in_loop(links.union(links.select("b", "a")).toDF("u", "v").distinct())
+    labels = cut_in_loop(edges.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.first("u")).alias("part")))
     while True:
         near = edges.join(labels, F.col("v") == F.col("fp")).groupBy("u").agg(F.min("part").alias("near"))
-        spread = labels.join(near, F.col("fp") == F.col("u")).select("fp", F.col("part").alias("old"), F.least("part", "near").alias("mid"))
-        jump = labels.select(F.col("fp").alias("mid_fp"), F.col("part").alias("far"))
-        new = cut(spread.join(jump, F.col("mid") == F.col("mid_fp")).select("fp", "old", F.least("mid", "far").alias("part")))
+        seen = labels.join(near, F.col("fp") == F.col("u")).select("fp", "part", "near")
+        hooks = seen.select("fp", "near").union(seen.select("part", "near")).groupBy(F.col("fp").alias("hook")).agg(F.min("near").alias("to"))
+        middle = cut_in_loop(labels.join(hooks, F.col("fp") == F.col("hook")).select("fp", F.col("part").alias("old"), F.least("part", "to").alias("mid")))
+        jump = middle.select(F.col("fp").alias("mid_fp"), F.col("mid").alias("far"))
+        new = cut_in_loop(middle.join(jump, F.col("mid") == F.col("mid_fp")).select("fp", "old", F.least("mid", "far").alias("part")))
         labels = new.select("fp", "part")
         if new.filter("old != part").isEmpty():
             return labels
@@ -386,18 +477,26 @@ def join(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: s
     """
     known = cut(signatures(df, rule, id_col, text_col))
     met = cut(blocks(df, rule, text_col))
-    held = members(met, df, known, rule, id_col, text_col)
+    sweep(df.sparkSession)
+    met = cut(met.join(met.groupBy("fp").agg(F.count(F.lit(1)).alias("degree")), "fp"))
+    points = points_of(texts_of(met.select("fp").distinct(), df, known, id_col, text_col), rule)
+    sweep(df.sparkSession)
     links, part, rest = None, None, met.withColumn("part", F.col("fp"))
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 2):
         if turn < STAR_ROUNDS:
-            found = cut(verify(cut(bounded(stars(rest, turn), held, rule)), held, rule))
+            pairs = stars(rest, points, rule, turn)
         else:
-            found = cut(verify(cut(tree_pairs(rest.join(held.select("fp", "n", "point"), "fp"), rule)), held, rule))
+            pairs = tree_pairs(rest.join(points, "fp"), rule, NEAREST if turn == STAR_ROUNDS else None)
+        pairs = cut_in_loop(pairs)
+        sweep(df.sparkSession)
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        found = cut_in_loop(verify(pairs, sets_of(texts_of(wanted, df, known, id_col, text_col), rule), rule))
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             part = components(links)
-        if turn < STAR_ROUNDS:
-            rest = cut(unsettled(met, part))
+        if turn <= STAR_ROUNDS:
+            rest = cut_in_loop(unsettled(met, part))
+            sweep(df.sparkSession)
             if rest.isEmpty():
                 break
     if part is None:

@@ -72,11 +72,11 @@ def test_versions(spark, rule, star_rounds, monkeypatch):
     if star_rounds == 0:
         met = nj.cut(nj.blocks(df, rule, "text"))
         known = nj.cut(nj.signatures(df, rule, "doc_id", "text"))
-        held = nj.members(met, df, known, rule, "doc_id", "text")
+        texts = nj.texts_of(met.select("fp").distinct(), df, known, "doc_id", "text")
         from pyspark.sql import functions as F
 
-        pairs = nj.tree_pairs(met.withColumn("part", F.col("fp")).join(held.select("fp", "n", "point"), "fp"), rule)
-        links = {tuple(sorted(r)) for r in nj.verify(nj.cut(pairs), held, rule).collect()}
+        pairs = nj.tree_pairs(met.withColumn("part", F.col("fp")).join(nj.points_of(texts, rule), "fp"), rule)
+        links = {tuple(sorted(r)) for r in nj.verify(nj.cut(pairs), nj.sets_of(texts, rule), rule).collect()}
         sets = {}
         for _, t in rows:
             s = nj.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), rule.words)[0]
