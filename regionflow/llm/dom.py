@@ -13,8 +13,14 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 NEVER_TEXT = {"script", "style", "textarea", "title", "head", "noscript", "template", "iframe", "noembed", "noframes", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+#: What may stand in a head; any other element ends it, as text does.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Elements without page text that hold only what lies before their end tag, and those of them that can't nest.
+SHUT = {"noscript", "template", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
+FLAT = {"noscript", "select", "button"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
+_SHUT = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)({'|'.join(sorted(SHUT))})(?=[\s/>])", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -42,16 +48,37 @@ def attribute_tokens(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def shut(text: str) -> set[int]:
+    """Where the start tags of SHUT elements stand that have an end tag of their own."""
+    out, held = set(), {}
+    for m in _SHUT.finditer(text):
+        if not m[3]:
+            continue
+        name = m[3].lower()
+        begun = held.setdefault(name, [])
+        if m[2]:
+            if begun:
+                out.add(begun.pop())
+        else:
+            if name in FLAT:
+                begun.clear()
+            begun.append(m.start())
+    return out
+
+
 def parse(text: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and their block nodes
     at, depth_a = 0, 0
     match, end_of_text = _TOKEN.search, len(text)
+    ended: set[int] | None = None
 
     def add(piece: str) -> None:
         if piece:
             if "&" in piece:
                 piece = html.unescape(piece)
+            if stack[-1][0] == "head" and piece.strip():
+                close(len(stack) - 1)
             node = stack[-1][1]
             page.events.append((node, piece))
             if depth_a:
@@ -86,6 +113,8 @@ def parse(text: str) -> Page:
                     break
             continue
         attributes = m[3] or m[6] or ""
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
         if name in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
@@ -131,6 +160,10 @@ def parse(text: str) -> Page:
             at = stop.end() if stop else end_of_text
             page.events.append((BREAK, ""))
         elif not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
+            if name in SHUT:
+                ended = shut(text) if ended is None else ended
+                if m.start() not in ended:
+                    continue
             stack.append((name, own))
     close(1)
     return page

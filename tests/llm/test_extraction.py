@@ -43,6 +43,21 @@ def test_markup(source, want):
     assert extraction.main_text(source, extraction.trained()) == want
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<html><head><title>t</title><meta charset=x><body>", "<html><head><title>t</title>", "<html><head><noscript><title>t</title><body>", "<html><head></head><body><select><option>x", "<body><noscript>", "<body><object>", "<body><template>",
+     "<body><noscript><p>no</p></noscript><noscript>", "<body><select><option>x</select><button>", "<html><head><noscript><p>no</p></noscript><body>"],
+)
+def test_what_never_closes_takes_no_text(before):
+    words = "Main words are here, all of them."
+    got = extraction.main_text(f"{before}<article><p>{words}</p></article></body></html>", extraction.trained())
+    assert words in got and "no" not in got.split()
+
+
+def test_text_ends_an_open_head():
+    assert extraction.main_text("<head><title>t</title>Words of the page stand here.", extraction.trained()) == "Words of the page stand here."
+
+
 def test_decoding_is_the_best_consistent_choice():
     rng = np.random.default_rng(4)
     for _ in range(60):
