@@ -17,15 +17,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by a Jaccard similarity of 0.8 of 5-word shingles.
+    """One document of each group linked by a Jaccard similarity of 0.8 of 5-word shingles: that with the smallest id.
 
-    Of rows with one id only one stays; rows without an id stay if their group has no id, one for each text.
+    Where a group's smallest id has several texts, or the group no id, the text with the smallest hash stays. Texts of
+    one id in different groups all stay.
     """
-    found = ngram_join.join(docs, ngram_join.Rule(5, (80, 100)))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    again = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
-    return kept.withColumn("_again", again).dropDuplicates(["doc_id", "_again"]).select(*docs.columns)
+    first = ngram_join.firsts(docs, ngram_join.Rule(5, (80, 100))).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = docs.withColumn("_own", ngram_join.text_hash("text"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

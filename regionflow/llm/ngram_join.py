@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.llm.common import cut, cut_in_loop, lower_ascii, map_batches, mix, slices, span_hashes, sweep, utf8, word_spans
@@ -179,16 +179,21 @@ class PointTree:
         return self.order[live[common >= rule.overlap(self.sizes[live], np.int64(size))]]
 
 
-def signatures(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n, fp) for each row of df; a set without shingles has a null fp."""
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def signatures(df: DataFrame, rule: Rule, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """Rows (id, n, fp) for each row of df, and its text_hash if asked for; a set without shingles has a null fp."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*utf8(batch.column(1)), rule.words)
         fps = [fingerprint(s) if len(s) else None for s in sets]
-        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64())], ["id", "n", "fp"])
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), *batch.columns[2:]]
+        return pa.record_batch(columns, ["id", "n", "fp", *["text_hash"] * hashed])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, text_col), run, f"id {kind}, n bigint, fp bigint")
+    return map_batches(df.select(id_col, text_col, *[text_hash(text_col)] * hashed), run, f"id {kind}, n bigint, fp bigint" + ", text_hash bigint" * hashed)
 
 
 def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
@@ -475,7 +480,24 @@ def join(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: s
     nothing. Rows without an id take part, and get the smallest id that their component has, if any.
     Repeated rows give repeated results; an empty table gives no rows.
     """
-    known = cut(signatures(df, rule, id_col, text_col))
+    return _linked(df, rule, id_col, text_col, False).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def firsts(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """Rows (id, text_hash), one for each component: its smallest id, nulls last, and of that id's texts the smallest hash.
+
+    Texts without words link with nothing; each such (id, text) is a component.
+    """
+    alone = F.col("part").isNull()
+    rows = _linked(df, rule, id_col, text_col, True)
+    groups = rows.groupBy("part", F.when(alone, F.col("id")).alias("own_id"), F.when(alone, F.col("text_hash")).alias("own_hash"))
+    first = groups.agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
+    return first.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
+
+
+def _linked(df: DataFrame, rule: Rule, id_col: str, text_col: str, hashed: bool) -> DataFrame:
+    """Rows of signatures() with the component's smallest id and its label; both are null without words."""
+    known = cut(signatures(df, rule, id_col, text_col, hashed))
     met = cut(blocks(df, rule, text_col))
     sweep(df.sparkSession)
     met = cut(met.join(met.groupBy("fp").agg(F.count(F.lit(1)).alias("degree")), "fp"))
@@ -503,7 +525,5 @@ def join(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: s
         part = known.select("fp", F.col("fp").alias("part")).limit(0)
     smallest = known.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("least")).join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     ids = smallest.groupBy("part").agg(F.min("least").alias("component"))
-    classes = smallest.join(ids, "part").select(F.col("fp").alias("class"), "component")
-    return known.join(classes, F.col("fp") == F.col("class"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    classes = smallest.join(ids, "part").select(F.col("fp").alias("class"), "component", *["part"] * hashed)
+    return known.join(classes, F.col("fp") == F.col("class"), "left")

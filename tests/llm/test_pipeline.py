@@ -48,3 +48,13 @@ def test_each_stage_on_hard_and_empty_rows(spark, sf, hard, empty, k):
         ids = [r["doc_id"] for r in out.collect()]
         assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
         assert 1 in ids and 2 not in ids and 3 in ids and 4 in ids
+
+
+def test_unlinked_texts_of_one_id_stay(spark, sf):
+    """Of each group one row stays, also where groups share their smallest id or have none."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a), (None, c), (None, c + " end"), (None, a), (4, ""), (4, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r["doc_id"], r["text"]) for r in cp.ngram_jaccard_join(spark, docs, sf).collect()}
+    assert {(1, a), (1, b), (4, ""), (4, " "), (None, None)} <= got
+    assert len(got) == 6 and len(got & {(None, c), (None, c + " end")}) == 1
