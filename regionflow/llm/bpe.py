@@ -4,6 +4,9 @@ For every byte prefix of a piece there is one valid last token: the token t that
 alone, or the last token of the prefix before t followed by t, is left unchanged by the merges. The table of
 these last tokens gives the encoding by walking back, grows by appends, and after an edit needs new entries
 only until they agree with the old ones again.
+
+An automaton over the vocabulary finds the tokens that end at each byte. Whether two tokens can stand side by side
+is told by the parts that face each other while each token is merged.
 """
 
 from __future__ import annotations
@@ -12,14 +15,20 @@ import base64
 import hashlib
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from regionflow.llm.common import map_batches
 
-#: Pieces and token pairs kept per worker; the tables are emptied when full, which changes no result.
-PIECES_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+#: Bytes of pieces, and token pairs, kept per worker; the tables are emptied when full, which changes no result.
+PIECE_BYTES_KEPT, PAIRS_KEPT = 160 << 20, 1_000_000
+#: Bytes that a kept piece takes besides its own, and for each token.
+_ENTRY, _ID = 200, 8
+
+#: The rank of no merge.
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,49 +43,105 @@ class PrefixBpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.automaton = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        if ranks:
+            self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._stable: dict[int, bool] = {}
+        self._histories: dict[int, tuple[bool, list, list] | None] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges themselves: join the adjacent parts whose union ranks lowest, leftmost first."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        return [self.ranks[p] for p in self._merges(piece)[0]]
+
+    def _merges(self, piece: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """The parts that are left, and for each merge its rank and the first and the last part before it."""
+        parts, steps = [piece[i : i + 1] for i in range(len(piece))], []
         while len(parts) > 1:
             found = [(rank, i) for i in range(len(parts) - 1) if (rank := self.ranks.get(parts[i] + parts[i + 1])) is not None]
             if not found:
                 break
-            _, i = min(found)
+            rank, i = min(found)
+            steps.append((rank, parts[0], parts[-1]))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts, steps
+
+    def history(self, token: int) -> tuple[bool, list, list] | None:
+        """(whether ranks never fall, first parts, last parts) while the token's bytes are merged, each part with the
+        rank of the merge that ends it; None if the merges don't give the token."""
+        if token not in self._histories:
+            whole = self.tokens[token]
+            parts, steps = self._merges(whole)
+            firsts, lasts = [], []
+            for (rank, first, last), (_, next_first, next_last) in zip(steps, [*steps[1:], (0, whole, whole)][: len(steps)], strict=True):
+                if first != next_first:
+                    firsts.append((first, rank))
+                if last != next_last:
+                    lasts.append((last, rank))
+            rising = all(x[0] <= y[0] for x, y in zip(steps, steps[1:], strict=False))
+            self._histories[token] = (rising, [*firsts, (whole, NEVER)], [*lasts, (whole, NEVER)]) if parts == [whole] else None
+        return self._histories[token]
 
     def stable(self, token: int) -> bool:
-        found = self._stable.get(token)
-        if found is None:
-            found = self._stable[token] = self.merged(self.tokens[token]) == [token]
-        return found
+        return self.history(token) is not None
 
     def pair(self, left: int, right: int) -> bool:
+        """Whether the merges leave the two tokens side by side."""
         key = left << 32 | right
         found = self._pairs.get(key)
         if found is None:
             if len(self._pairs) >= PAIRS_KEPT:
                 self._pairs.clear()
-            found = self._pairs[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            found = self._pairs[key] = self._apart(left, right)
         return found
 
-    def last_token(self, piece: bytes, end: int, last: list[int]) -> int:
-        """The valid last token of piece[:end]; last[i] is that of piece[:i]."""
-        get = self.ranks.get
-        for start in range(max(0, end - self.longest), end):
-            token = get(piece[start:end])
-            if token is not None and (self.pair(last[start], token) if start else self.stable(token)):
-                return token
-        raise ValueError(f"no token for byte {piece[end - 1]}")
+    def _apart(self, left: int, right: int) -> bool:
+        one, other = self.history(left), self.history(right)
+        if one is None or other is None:
+            return False
+        if not (one[0] and other[0]):  # ranks that fall give no common order of the two tokens' merges
+            return self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        get, lasts, firsts = self.ranks.get, one[2], other[1]
+        i = j = 0
+        while True:
+            (last, until), (first, till) = lasts[i], firsts[j]
+            rank = get(last + first, NEVER)
+            if rank < until and rank <= till:  # of equal ranks the leftmost merges first
+                return False
+            if until <= till:
+                if until == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def extend(self, symbols: str, last: list[int], stop: int) -> None:
+        """Last tokens up to `stop` of a piece whose bytes are given as a Latin-1 text; last[i] is that of its first i bytes."""
+        done, begin = len(last), max(0, len(last) - self.longest)
+        last += [-1] * (stop + 1 - done)
+        known, pair = self._pairs.get, self.pair
+        for end, (token, size) in self.automaton.iter(symbols, begin, stop):
+            end += 1
+            if last[end] >= 0 or end < done:
+                continue
+            start = end - size
+            if start:
+                left = last[start]
+                fits = known(left << 32 | token)
+                if fits is None:
+                    fits = pair(left, token)
+            else:
+                fits = self.stable(token)
+            if fits:
+                last[end] = token
+        if -1 in last[done:]:
+            raise ValueError(f"no token for a byte of {symbols[done - 1 : stop]!r}")
 
     def table(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """Last tokens of all prefixes; `last`, a table of a prefix of piece, is extended."""
         last = last or [-1]
-        for end in range(len(last), len(piece) + 1):
-            last.append(self.last_token(piece, end, last))
+        self.extend(piece.decode("latin-1"), last, len(piece))
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -89,11 +154,12 @@ class PrefixBpe:
     def edit(self, piece: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int], int]:
         """piece with piece[start:end] replaced, its table, and how many entries were computed anew."""
         changed = piece[:start] + new + piece[end:]
-        table, shift, same = last[: start + 1], len(new) - (end - start), 0
-        for at in range(start + 1, len(changed) + 1):
-            table.append(self.last_token(changed, at, table))
-            same = same + 1 if at > start + len(new) and table[at] == last[at - shift] else 0
-            if same >= self.longest:  # later entries see only equal bytes and equal entries
+        table, shift, symbols = last[: start + 1], len(new) - (end - start), changed.decode("latin-1")
+        for low in range(start, len(changed), self.longest):
+            at = min(low + self.longest, len(changed))
+            self.extend(symbols, table, at)
+            first = at + 1 - self.longest
+            if first > start + len(new) and table[first:] == last[first - shift : at + 1 - shift]:  # later entries see only equal bytes and equal entries
                 return changed, table + last[at - shift + 1 :], at - start
         return changed, table, len(changed) - start
 
@@ -109,11 +175,19 @@ class _Pieces(dict):
     def __init__(self, bpe: PrefixBpe) -> None:
         super().__init__()
         self.bpe = bpe
+        self.held = 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= PIECES_KEPT:
+        raw = piece.encode()
+        found = tuple(self.bpe.encode_piece(raw))
+        size = _ENTRY + len(raw) + _ID * len(found)
+        if size > PIECE_BYTES_KEPT // 64:
+            return found
+        if self.held + size > PIECE_BYTES_KEPT:
             self.clear()
-        self[piece] = found = tuple(self.bpe.encode_piece(piece.encode()))
+            self.held = 0
+        self[piece] = found
+        self.held += size
         return found
 
 

@@ -71,3 +71,34 @@ def _digest(doc_id, text):
 def test_empty_table_and_clashing_columns(empty, clashing):
     assert bpe.digests(empty, PATH, P.PATTERN).count() == 0
     assert bpe.digests(clashing, PATH, P.PATTERN).count() == clashing.count()
+
+
+def neighbours(bpe_, left, right):
+    return bpe_.merged(bpe_.tokens[left] + bpe_.tokens[right]) == [left, right]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(0, 50_255), st.integers(0, 50_255))
+def test_pairs_agree_with_the_merges(left, right):
+    assert CODER.bpe.pair(left, right) == neighbours(CODER.bpe, left, right)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_vocabularies_whose_ranks_fall(random):
+    """Ranks in any order: tokens that the merges never give, and merges that make a better one possible."""
+    tokens = {bytes([x]) for x in b"abc"} | {bytes(random.choices(b"abc", k=random.randint(2, 5))) for _ in range(25)}
+    order = sorted(tokens)
+    random.shuffle(order)
+    own = bpe.PrefixBpe({t: i for i, t in enumerate(order)})
+    for left in own.tokens:
+        for right in own.tokens:
+            if own.stable(left) and own.stable(right):
+                assert own.pair(left, right) == neighbours(own, left, right)
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_BYTES_KEPT", 2000)
+    small = bpe.TextBpe(CODER.bpe, P.PATTERN)
+    text = " ".join(f"word{i} qzx{i * 7}" for i in range(200)) + " " + "x" * 500
+    assert small.encode(text) == REFERENCE.encode_ordinary(text) and small.pieces.held <= 2000
