@@ -8,10 +8,11 @@ One tree over all texts can't be spread over machines, as random texts have like
 route: two texts whose sets differ in at most D shingles agree in at least one of D + 1 groups. Texts that hold
 equal content in one group form a block; each block has its own tree, and no pair is lost.
 
-Texts with equal sets are one class and stand for each other. The first rounds pair each class with the nearest
-centre of its blocks, and the trees with its nearest neighbours; a last search of the blocks that still join
-several components takes all pairs that the bound leaves. So thousands of versions of one text mostly cost as
-many pairs, not their square, and components are exact.
+Texts with equal sets are one class and stand for each other, and blocks of the same classes are one block. The first
+round pairs each class with the nearest centre of its blocks, and the trees with its nearest neighbours; a last search
+of the blocks that still join several components takes all pairs that the bound leaves. Two classes that share several
+blocks meet in that of their smallest key only. So thousands of versions of one text mostly cost as many pairs, not
+their square, and components are exact. A block of more than TILE classes is searched in tiles of two parts.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ BROADCAST_CLASSES = 150_000
 STAR_ROUNDS = 1
 #: Nearest members that the first tree round tries for each class.
 NEAREST = 2
-#: Blocks up to this size are one node, whose pairs are all bounded at once.
-LEAF = 48
+#: Classes of a block that one tree holds; each two parts of a larger block get a tree.
+TILE = 8192
+#: Smallest keys that a class carries, to tell in which block it meets another one.
+LEAST = 16
+#: Points that a search compares at once.
+COMPARED = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,6 +152,21 @@ def group_keys(s: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def cut_keys(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The range of each key, of 8 * parts equal ones, its first 32 bits within the range, and the key that these give."""
+    step = (1 << 64) // (8 * parts) + 1
+    shift = np.uint64(max(0, step.bit_length() - 32))
+    place = keys // np.uint64(step)
+    short = (keys - place * np.uint64(step)) >> shift
+    return place, short, place * np.uint64(step) + (short << shift)
+
+
+def least_keys(s: np.ndarray, rule: Rule, parts: int) -> np.ndarray:
+    """The LEAST smallest of a set's keys, as blocks() has them, in order."""
+    keys = np.unique(cut_keys(group_keys(s, rule), parts)[2].view(np.int64))[:LEAST]
+    return np.r_[keys, np.full(LEAST - len(keys), np.iinfo(np.int64).max)]
+
+
 class PointTree:
     """A packed R-tree over count vectors: each node keeps its members' largest coordinates and extreme sizes."""
 
@@ -161,43 +181,48 @@ class PointTree:
             top, low, high, most = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(most, at)
             self.levels.append((top, low, high, most))
 
-    def search(self, point_: np.ndarray, size: int, rule: Rule) -> np.ndarray:
-        """Members whose overlap with the point could suffice, as indexes of the points given."""
-        small, large = -(-size * rule.share[0] // rule.share[1]), rule.largest(size)
-        beyond = size - int(point_.sum(dtype=np.int64))
-        live = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.points))
+    def search(self, points: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of several points the members whose overlap with it could suffice: number of the point, index of the
+        member as given, and the bound of the overlap."""
+        small, large = -(-sizes * rule.share[0] // rule.share[1]), rule.largest(sizes)
+        beyond = sizes - points.sum(1, dtype=np.int64)
+        top = len(self.levels[-1][0]) if self.levels else len(self.points)
+        of, node = np.repeat(np.arange(len(points)), top), np.tile(np.arange(top), len(points))
         for depth in range(len(self.levels) - 1, -1, -1):
-            live = live[(self.levels[depth][1][live] <= large) & (self.levels[depth][2][live] >= small)]
-            top, low, _, most = (x[live] for x in self.levels[depth])
-            need = rule.overlap(np.maximum(low, small), np.int64(size))
-            live = live[np.minimum(top, point_).sum(1, dtype=np.int64) + np.minimum(most, beyond) >= need]
+            most_of, low, high, most = self.levels[depth]
+            of, node = (x[(low[node] <= large[of]) & (high[node] >= small[of])] for x in (of, node))
+            bound = np.minimum(most_of[node], points[of]).sum(1, dtype=np.int64) + np.minimum(most[node], beyond[of])
+            live = bound >= rule.overlap(np.maximum(low[node], small[of]), sizes[of])
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
-            live = (live[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            live = live[live < below]
-        live = live[(self.sizes[live] <= large) & (self.sizes[live] >= small)]
-        common = np.minimum(self.points[live], point_).sum(1, dtype=np.int64) + np.minimum(self.beyond[live], beyond)
-        return self.order[live[common >= rule.overlap(self.sizes[live], np.int64(size))]]
+            of = np.repeat(of[live], FANOUT)
+            node = (node[live][:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            of, node = of[node < below], node[node < below]
+        live = (self.sizes[node] <= large[of]) & (self.sizes[node] >= small[of])
+        of, node = of[live], node[live]
+        common = np.minimum(self.points[node], points[of]).sum(1, dtype=np.int64) + np.minimum(self.beyond[node], beyond[of])
+        live = common >= rule.overlap(self.sizes[node], sizes[of])
+        return of[live], self.order[node[live]], common[live]
 
 
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def signatures(df: DataFrame, rule: Rule, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
-    """Rows (id, n, fp) for each row of df, and its text_hash if asked for; a set without shingles has a null fp."""
+def signatures(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, n, fp, text_hash) for each row of df; a set without shingles has a null fp."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*utf8(batch.column(1)), rule.words)
         fps = [fingerprint(s) if len(s) else None for s in sets]
-        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), *batch.columns[2:]]
-        return pa.record_batch(columns, ["id", "n", "fp", *["text_hash"] * hashed])
+        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), batch.column(2)], ["id", "n", "fp", "text_hash"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, text_col, *[text_hash(text_col)] * hashed), run, f"id {kind}, n bigint, fp bigint" + ", text_hash bigint" * hashed)
+    return map_batches(df.select(id_col, text_col, text_hash(text_col)), run, f"id {kind}, n bigint, fp bigint, text_hash bigint")
 
 
 def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """Rows (key, fp): the classes that share a group's content with another one.
+    """Rows (key, fp, members): the classes that share a group's content with another one, and how many do. Of several keys
+    that the same classes share, the smallest stays.
 
     Keys travel as sorted arrays, a row for each task and range of keys, by their first 32 bits within the range;
     two keys that agree in these share a block, which costs a search and loses nothing. A key that several classes of one task
@@ -205,8 +230,6 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = 8 * parts
-    step = (1 << 64) // ranges + 1
-    shift = np.uint64(max(0, step.bit_length() - 32))
 
     def send(batches):
         keys: list[np.ndarray] = []
@@ -215,8 +238,7 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
         def hand_over():
             k, f = np.concatenate(keys), np.concatenate(fps)
-            low = k // np.uint64(step) * np.uint64(step)
-            k = low + ((k - low) >> shift << shift)
+            k = cut_keys(k, parts)[2]
             by = np.lexsort((f, k))
             k, f = k[by], f[by]
             new_key = np.r_[True, k[1:] != k[:-1]]
@@ -226,8 +248,8 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
             several[:-1] |= ~new_key[1:]
             known_k, known_f = k[several], f[several]
             k, f = k[new_key], f[new_key]
-            place = (k // np.uint64(step)).astype(np.int64)
-            short = ((k - place.astype(np.uint64) * np.uint64(step)) >> shift).astype(np.uint32)
+            place, short, _ = cut_keys(k, parts)
+            place, short = place.astype(np.int64), short.astype(np.uint32)
             at = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
             end = np.r_[at[1:], len(place)]
             yield pa.record_batch(
@@ -258,6 +280,8 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
     def meet(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        step = (1 << 64) // ranges + 1
+        shift = np.uint64(max(0, step.bit_length() - 32))
         for batch in batches:
             for place, is_open, k, f in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 f = np.frombuffer(f, np.int64)
@@ -280,17 +304,22 @@ def blocks(df: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
     sent = df.select(text_col).mapInArrow(send, "place bigint, open boolean, keys binary, fps binary")
     met = sent.repartition(parts, "place").mapInArrow(meet, "key bigint, fp bigint")
-    several = met.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    return met.join(several.select("key"), "key", "left_semi").distinct()
+    met = met.distinct()
+    own = [F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"own{seed}") for seed in (1, 2)]
+    several = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *own).filter("members > 1")
+    chosen = several.groupBy("members", "own1", "own2").agg(F.min("key").alias("key")).select("key", "members")
+    return met.join(chosen, "key")
 
 
 def texts_of(classes: DataFrame, df: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (fp, text): a text of each class, dealt with by a broadcast of the classes while these are few."""
-    one = cut(known.join(classes, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("one")))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    one = known.join(classes, "fp", "left_semi").groupBy("fp").agg(first.alias("first"))
+    one = cut(one.select("fp", F.col("first.id").alias("one_id"), F.col("first.text_hash").alias("one_hash")))
     if one.count() <= BROADCAST_CLASSES:
         one = F.broadcast(one)
-    texts = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
-    return texts.join(one, F.col("text_id").eqNullSafe(F.col("one"))).select("fp", "text")
+    texts = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("own_hash"))
+    return texts.join(one, (F.col("own_hash") == F.col("one_hash")) & F.col("text_id").eqNullSafe(F.col("one_id"))).select("fp", "text")
 
 
 def _of_class(batch: pa.RecordBatch, rule: Rule) -> tuple[pa.Array, list[np.ndarray]]:
@@ -301,14 +330,15 @@ def _of_class(batch: pa.RecordBatch, rule: Rule) -> tuple[pa.Array, list[np.ndar
 
 
 def points_of(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (fp, n, point) of texts (fp, text), dealt by fp for the joins to come."""
+    """Rows (fp, n, point, least) of texts (fp, text), dealt by fp for the joins to come; least: the class's smallest keys."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, sets = _of_class(batch, rule)
-        return pa.record_batch([fps, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())], ["fp", "n", "point"])
+        least = [least_keys(s, rule, parts).tobytes() for s in sets]
+        return pa.record_batch([fps, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(least, pa.binary())], ["fp", "n", "point", "least"])
 
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(map_batches(texts, run, "fp bigint, n bigint, point binary").repartition(parts, "fp").dropDuplicates(["fp"]))
+    return cut(map_batches(texts, run, "fp bigint, n bigint, point binary, least binary").repartition(parts, "fp").dropDuplicates(["fp"]))
 
 
 def sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -346,6 +376,7 @@ def similarity(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose sum of coordinate minima could suffice, with the bound of their similarity as `near`."""
+    points = points.select("fp", "n", "point")
     both = pairs.join(points.toDF("a", "n_a", "p_a"), "a").join(points.toDF("b", "n_b", "p_b"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -378,79 +409,84 @@ def _nearest(pairs: DataFrame, count: int) -> DataFrame:
     return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def block_pairs(key: int, tile: bool, fps: np.ndarray, sizes: np.ndarray, points: np.ndarray, least: np.ndarray, parts: np.ndarray, half: np.ndarray, rule: Rule, nearest: int | None):
+    """Yields arrays (a, b, near) of a block's members in different parts whose bound suffices and that share no smaller
+    key: with a < b, or for each a its `nearest` b. tile: only members of different halves."""
+    tree, step = PointTree(points, sizes), max(1, COMPARED // len(fps))
+    for at in range(0, len(fps), step):
+        i, j, common = tree.search(points[at : at + step], sizes[at : at + step], rule)
+        i += at
+        wanted = parts[i] != parts[j]
+        if tile:
+            wanted &= half[i] != half[j]
+        if not nearest:
+            wanted &= fps[i] < fps[j]
+        i, j, common = i[wanted], j[wanted], common[wanted]
+        if not len(i):
+            continue
+        x, y = least[i], least[j]
+        elsewhere = ((x[:, :, None] == y[:, None, :]) & (x < key)[:, :, None]).any((1, 2))
+        i, j, common = i[~elsewhere], j[~elsewhere], common[~elsewhere]
+        near = similarity(common, sizes[i], sizes[j])
+        if nearest and len(i):
+            by = np.lexsort((fps[j], -near, i))
+            i, j, near = i[by], j[by], near[by]
+            new = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            first = np.arange(len(i)) - np.repeat(new, np.diff(np.r_[new, len(i)])) < nearest
+            i, j, near = i[first], j[first], near[first]
+        yield fps[i], fps[j], near
+
+
 def tree_pairs(members: DataFrame, rule: Rule, nearest: int | None = None) -> DataFrame:
-    """Pairs (a, b) of members (key, fp, n, point, part) of a block that lie in different parts and pass the bound:
-    all of them, or for each class those with its `nearest` ones."""
-
-    def block(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fps, sizes, points, parts = (np.array(x) for x in zip(*held, strict=True))
-        if len(fps) <= LEAF:
-            common = np.minimum(points[:, None], points[None]).sum(2, dtype=np.int64)
-            beyond = sizes - points.sum(1, dtype=np.int64)
-            common += np.minimum(beyond[:, None], beyond[None])
-            i, j = np.nonzero((common >= rule.overlap(sizes[:, None], sizes[None])) & (parts[:, None] != parts[None]))
-            return fps[i], fps[j], similarity(common[i, j], sizes[i], sizes[j])
-        tree, out = PointTree(points, sizes), []
-        for i in range(len(fps)):
-            j = tree.search(points[i], int(sizes[i]), rule)
-            j = j[parts[j] != parts[i]]
-            if len(j):
-                near = similarity(most_common(points[j], sizes[j], points[i], sizes[i]), sizes[j], sizes[i])
-                if nearest and len(j) > nearest:
-                    best = np.lexsort((fps[j], -near))[:nearest]
-                    j, near = j[best], near[best]
-                out.append((np.full(len(j), fps[i]), fps[j], near))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    """Pairs (a, b) of members (key, fp, n, point, least, part, members) of a block that lie in different parts and pass the
+    bound: all of them, or for each class those with its `nearest` ones."""
 
     def search(batches):
-        key, held, out, size = None, [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def close():
-            nonlocal size
-            if len(held) > 1:
-                a, b, near = block(held)
-                if not nearest:
-                    a, b, near = (x[a < b] for x in (a, b, near))
-                out.append((a, b, near))
-                size += len(a)
+        def close(arrays):
+            key, tile, half, fps, sizes, parts, points, least = arrays
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+                if b - a > 1:
+                    yield from block_pairs(int(key[a]), bool(tile[a] % 2), fps[a:b], sizes[a:b], points[a:b], least[a:b], parts[a:b], half[a:b], rule, nearest)
 
-        def hand_over():
-            nonlocal size
-            a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
-            order = np.lexsort((b, -near, a) if nearest else (near, b, a))
-            a, b, near = a[order], b[order], near[order]
-            fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-            if nearest:  # of what this task has seen of a class, the nearest
-                a, b, near = a[fresh], b[fresh], near[fresh]
-                first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-                fresh = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < nearest
-            out.clear()
-            size = 0
-            return pa.record_batch([pa.array(a[fresh]), pa.array(b[fresh]), pa.array(near[fresh])], ["a", "b", "near"])
+        def found(arrays):
+            out = [x for x in close(arrays) if len(x[0])]
+            if out:
+                a, b, near = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if k != key:
-                    close()
-                    if size > 500_000:
-                        yield hand_over()
-                    key, held = k, []
-                held.append((row[0], row[1], np.frombuffer(row[2], np.uint16), row[3]))
-        close()
-        if out:
-            yield hand_over()
-
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.select("key", "fp", "n", "point", "part").repartition(parts, "key").sortWithinPartitions("key", "fp")
+            numbers = [batch.column(i).to_numpy() for i in range(6)]
+            points = np.frombuffer(utf8(batch.column(6))[0].tobytes(), np.uint16).reshape(-1, COORDINATES)
+            least = np.frombuffer(utf8(batch.column(7))[0].tobytes(), np.int64).reshape(-1, LEAST)
+            held.append((*numbers, points, least))
+            key, tile = numbers[:2]
+            if key[0] != key[-1] or tile[0] != tile[-1]:  # all but the last block are complete
+                arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = np.flatnonzero((arrays[0] != key[-1]) | (arrays[1] != tile[-1]))[-1] + 1
+                yield from found([x[:last] for x in arrays])
+                held[:] = [tuple(x[last:] for x in arrays)]
+        if held:
+            yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    # A block of more than TILE members is dealt into parts; tile 2 * (i * parts + j) holds part i alone (i = j) or, plus 1, parts i and j.
+    many = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
+    half = F.pmod(F.xxhash64("fp"), many).cast("int")
+    number = lambda j: 2 * (F.least("half", j) * F.col("many") + F.greatest("half", j)) + (F.col("half") != j).cast("int")
+    dealt = members.withColumn("many", many).withColumn("half", half).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), number)))
+    spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.select("key", "tile", "half", "fp", "n", "part", "point", "least").repartition(spread, "key", "tile").sortWithinPartitions("key", "tile", "fp")
     found = ordered.mapInArrow(search, "a bigint, b bigint, near double")
     return _nearest(found, nearest) if nearest else found.select("a", "b").distinct()
 
 
 def unsettled(met: DataFrame, part: DataFrame | None) -> DataFrame:
-    """Rows (key, fp, part, degree) of the blocks that join several components."""
+    """Rows (key, fp, part, degree, members) of the blocks that join several components."""
     placed = met.withColumn("part", F.col("fp")) if part is None else met.join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    return placed.join(mixed.select("key"), "key", "left_semi").select("key", "fp", "part", "degree")
+    return placed.join(mixed.select("key"), "key", "left_semi").select("key", "fp", "part", "degree", "members")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -480,7 +516,7 @@ def join(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: s
     nothing. Rows without an id take part, and get the smallest id that their component has, if any.
     Repeated rows give repeated results; an empty table gives no rows.
     """
-    return _linked(df, rule, id_col, text_col, False).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return _linked(df, rule, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def firsts(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -489,15 +525,15 @@ def firsts(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col:
     Texts without words link with nothing; each such (id, text) is a component.
     """
     alone = F.col("part").isNull()
-    rows = _linked(df, rule, id_col, text_col, True)
+    rows = _linked(df, rule, id_col, text_col)
     groups = rows.groupBy("part", F.when(alone, F.col("id")).alias("own_id"), F.when(alone, F.col("text_hash")).alias("own_hash"))
     first = groups.agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
     return first.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
 
 
-def _linked(df: DataFrame, rule: Rule, id_col: str, text_col: str, hashed: bool) -> DataFrame:
+def _linked(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Rows of signatures() with the component's smallest id and its label; both are null without words."""
-    known = cut(signatures(df, rule, id_col, text_col, hashed))
+    known = cut(signatures(df, rule, id_col, text_col))
     met = cut(blocks(df, rule, text_col))
     sweep(df.sparkSession)
     met = cut(met.join(met.groupBy("fp").agg(F.count(F.lit(1)).alias("degree")), "fp"))
@@ -525,5 +561,5 @@ def _linked(df: DataFrame, rule: Rule, id_col: str, text_col: str, hashed: bool)
         part = known.select("fp", F.col("fp").alias("part")).limit(0)
     smallest = known.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("least")).join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     ids = smallest.groupBy("part").agg(F.min("least").alias("component"))
-    classes = smallest.join(ids, "part").select(F.col("fp").alias("class"), "component", *["part"] * hashed)
+    classes = smallest.join(ids, "part").select(F.col("fp").alias("class"), "component", "part")
     return known.join(classes, F.col("fp") == F.col("class"), "left")

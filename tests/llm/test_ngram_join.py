@@ -111,7 +111,9 @@ def test_tree_search_equals_a_scan():
     for i in range(0, 400, 7):
         bound = np.minimum(points, points[i]).sum(1) >= rule.overlap(sizes, np.int64(sizes[i]))
         near = (sizes <= rule.largest(sizes[i])) & (sizes >= -(-sizes[i] * 90 // 100))
-        assert sorted(tree.search(points[i], int(sizes[i]), rule).tolist()) == np.flatnonzero(bound & near).tolist()
+        of, members, common = tree.search(points[[i]], sizes[[i]], rule)
+        assert sorted(members.tolist()) == np.flatnonzero(bound & near).tolist() and not of.any()
+        assert (common == np.minimum(points[members], points[i]).sum(1)).all()
 
 
 def test_long_chains_are_one_component(spark):
@@ -123,3 +125,51 @@ def test_long_chains_are_one_component(spark):
 def test_empty_and_clashing(empty, clashing):
     assert nj.join(empty).count() == 0
     assert nj.join(clashing).count() == clashing.count()
+
+
+@pytest.mark.parametrize("nearest", [None, 2])
+def test_tiles_give_the_pairs_of_one_tree(spark, nearest, monkeypatch):
+    """Large blocks are searched in tiles; each pair comes from one of them."""
+    from pyspark.sql import functions as F
+
+    rule = nj.Rule(3, (90, 100))
+    df = spark.createDataFrame(versions(7, bases=2, copies=60), "doc_id bigint, text string")
+    known = nj.cut(nj.signatures(df, rule, "doc_id", "text"))
+    met = nj.cut(nj.blocks(df, rule, "text"))
+    points = nj.points_of(nj.texts_of(met.select("fp").distinct(), df, known, "doc_id", "text"), rule)
+    members = met.withColumn("part", F.col("fp")).join(points, "fp")
+    one = sorted(map(tuple, nj.tree_pairs(members, rule, nearest).collect()))
+    monkeypatch.setattr(nj, "TILE", 7)
+    monkeypatch.setattr(nj, "COMPARED", 50)
+    assert sorted(map(tuple, nj.tree_pairs(members, rule, nearest).collect())) == one and one
+
+
+def test_classes_meet_in_the_block_of_their_smallest_key():
+    rng = np.random.default_rng(5)
+    rule = nj.Rule(5, (80, 100))
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(300) > 0.03], rng.integers(0, 2**63, 8).astype(np.uint64)]) for _ in range(12)]
+    points, sizes = np.array([nj.point(s) for s in sets]), np.array([len(s) for s in sets])
+    least, fps = np.array([nj.least_keys(s, rule, 4) for s in sets]), np.arange(12)
+    keys = [set(nj.cut_keys(nj.group_keys(s, rule), 4)[2].view(np.int64).tolist()) for s in sets]
+    found = []
+    for key in sorted(set().union(*keys)):
+        own = np.array([i for i in range(12) if key in keys[i]])
+        if len(own) > 1:
+            for a, b, _ in nj.block_pairs(key, False, fps[own], sizes[own], points[own], least[own], fps[own], fps[own], rule, None):
+                found += zip(a.tolist(), b.tolist(), strict=True)
+    shared = {(i, j) for i in range(12) for j in range(i + 1, 12) if keys[i] & keys[j]}
+    times = sum(len(keys[i] & keys[j]) for i, j in shared)
+    assert set(found) == shared and len(found) < times / 5
+
+
+def test_many_rows_without_an_id(spark):
+    """Versions of a text whose rows all lack an id link, and each class is read from its own text."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = [(None, " ".join([*base, f"end{i}"])) for i in range(40)] + [(None, f"other words {i} stand here alone") for i in range(40)] + [(9, " ".join([*base, "last"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rule = nj.Rule(3, (90, 100))
+    known = nj.cut(nj.signatures(df, rule, "doc_id", "text"))
+    assert nj.texts_of(known.select("fp").distinct(), df, known, "doc_id", "text").count() == 81
+    assert found(df, rule) == brute(rows, rule)
