@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,37 +20,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a source that one bucket of its token line holds on average.
 BUCKET_ROWS = 2000
-#: Sources are the mix's settings and are kept on the driver; more than this many is an error.
-MOST_SOURCES = 100_000
+#: Sources up to which their settings are broadcast; beyond, rows are shuffled to them.
+BROADCAST_SOURCES = 100_000
 
 #: Schedules by weight: (time, relative rate) corners. Heavy sources fall, light ones rise.
 SCHEDULES = {5: ((0.0, 1.0), (1.0, 0.6)), 2: ((0.0, 1.0), (1.0, 1.0)), 1: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
 
 
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int
-    weight: float
-    target: float
-
-
-def shares(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], total: float, most: float) -> list[Source]:
-    """Targets: `total` times all sizes by weight, none above `most` times its size, the excess shared anew."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [float(weights[i % len(weights)]) for i in range(len(order))]
-    budget = total * sum(s for _, s in order)
-    target, free = [0.0] * len(order), set(range(len(order)))
-    while free:
-        left = budget - sum(target[i] for i in range(len(order)) if i not in free)
-        per = left / sum(weight[i] for i in free)
-        full = {i for i in free if per * weight[i] > most * order[i][1]}
-        for i in free:
-            target[i] = most * order[i][1] if i in full else per * weight[i]
-        if not full:
-            break
-        free -= full
-    return [Source(n, s, w, t) for (n, s), w, t in zip(order, weight, target, strict=True)]
+def shares(sizes: DataFrame, weights: Sequence[float], total: float, most: float) -> DataFrame:
+    """sizes (source, size, ...) with weight and target: `total` times all sizes by weight, none above `most` times its size,
+    the excess shared anew.
+
+    In order of the share of weight at which a source is full, all before the first that isn't full are; that
+    one tells what a unit of weight gives. The windows without a key hold a row for each source.
+    """
+    order = Window.orderBy(F.col("source").isNull(), "source")
+    place = ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")
+    each = sizes.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place)).withColumn("cap", F.lit(float(most)) * F.col("size"))
+    by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
+    earlier, whole = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = lambda name: F.coalesce(F.sum(name).over(earlier), F.lit(0.0))
+    level = (F.lit(float(total)) * F.sum("size").over(whole) - so_far("cap")) / (F.sum("weight").over(whole) - so_far("weight"))
+    each = each.withColumn("level", level).withColumn("turn", F.row_number().over(by))
+    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("turn", "level"))).over(whole)
+    target = F.coalesce(F.least("cap", first["level"] * F.col("weight")), F.col("cap"))
+    return each.withColumn("target", target).drop("cap", "level", "turn")
 
 
 def _integral(corners: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
@@ -114,18 +107,13 @@ def mix(
             F.xxhash64(F.lit("mixing order"), F.col(id_col), text_hash).alias("order"),
         )
     )
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    plan = shares([(r["source"], r["size"]) for r in found], weights, total, most)
-    spark = df.sparkSession
-    buckets = {r["source"]: max(1, r["rows"] // BUCKET_ROWS) for r in found}
-    settings = spark.createDataFrame(
-        [(s.name, s.size, s.weight, s.target, int(s.target), buckets[s.name]) for s in plan],
-        "source string, source_size bigint, weight double, target double, goal bigint, buckets bigint",
-    )
+    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    plan = cut(shares(found, weights, total, most))
+    settings = plan.select("source", F.col("size").alias("source_size"), "weight", "target", F.col("target").cast("bigint").alias("goal"), F.greatest(F.lit(1), F.floor(F.col("rows") / BUCKET_ROWS)).alias("buckets"))
+    if settings.count() <= BROADCAST_SOURCES:
+        settings = F.broadcast(settings)
     # The line of a source in buckets of its order: sums of whole buckets first, then places inside each bucket.
-    placed = base.join(F.broadcast(settings), base["source"].eqNullSafe(settings["source"])).drop(settings["source"])
+    placed = base.join(settings, base["source"].eqNullSafe(settings["source"])).drop(settings["source"])
     unit = F.shiftrightunsigned("order", 11).cast("double") / float(1 << 53)
     placed = placed.withColumn("bucket", F.least(F.floor(unit * F.col("buckets")), F.col("buckets") - 1))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -142,8 +130,8 @@ def mix(
     taken = sum((part(F.col("goal") - k * F.col("source_size")) for k in range(1, rounds)), part(F.col("goal")))
     passes = sum(((F.col("goal") - k * F.col("source_size") > F.col("start")) & (F.col("size") > 0)).cast("int") for k in range(rounds))
     lined = lined.withColumn("taken", taken).withColumn("passes", passes)
-    kinds = sorted({s.weight for s in plan})
-    demand = {w: sum(s.target for s in plan if s.weight == w) for w in kinds}
+    demand = {r["weight"]: r["target"] for r in plan.groupBy("weight").agg(F.sum("target").alias("target")).collect()}  # as many as there are weights
+    kinds = sorted(demand)
     flat = ((0.0, 1.0), (1.0, 1.0))
 
     def position(k: int) -> Column:

@@ -188,16 +188,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Gam:
-    """Fit to at most `rows` labelled documents outside the held-out fifth. Rows without id or label don't count."""
+    """Fit to at most `rows` labelled documents outside the held-out fifth: those lowest by a hash of the id. Rows without id or
+    label don't count; of an id's several texts, that with the least features does."""
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label")).filter("label_id is not null and label is not null")
     known = known.filter(~held_out("label_id")).orderBy(F.xxhash64("label_id"), "label_id", "label").limit(rows)
     chosen = documents.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("label_id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = text_features(*utf8(batch.column(1)))
-        return pa.record_batch([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+        x = text_features(*utf8(batch.column(2)))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    found = map_batches(chosen.select("label", text_col), run, "label double, x array<double>").limit(2 * rows).toArrow()
+    kind = labels.schema[id_col].dataType.simpleString()
+    seen = map_batches(chosen.select("label_id", "label", text_col), run, f"id {kind}, label double, x array<double>")
+    found = seen.groupBy("id", "label").agg(F.min("x").alias("x")).select("label", "x").toArrow()  # at most `rows`
     x = np.array(found["x"].to_pylist()).reshape(found.num_rows, len(NAMES))
     y = (found["label"].to_numpy() > 0).astype(float)
     order = np.lexsort((y, *x.T))  # the same model however the rows arrive

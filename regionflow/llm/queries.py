@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.llm import avi, bpe, extraction, langid, mixing, ngram_join, perplexity, quality, suffixes, warc
-from regionflow.llm.common import table
+from regionflow.llm.common import cut, drop_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return warc.look_up(pages, *warc.archive(pages))
+    folder, tops = warc.archive(pages)
+    found = cut(warc.look_up(pages, folder, tops))
+    drop_folder(spark, folder)  # what was read back is kept, the archives aren't
+    return found
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -46,10 +47,54 @@ def test_reruns_and_partitions_agree(hard):
     assert a == sorted(map(str, mixing.mix(hard.repartition(7, "n_chars")).select(*cols).collect()))
 
 
-def test_the_excess_is_shared_again():
-    s = mixing.shares([("a", 10), ("b", 1000), (None, 1000)], (5, 2, 1), 1.5, 2.0)
-    assert [x.name for x in s] == ["a", "b", None] and s[0].target == 20
-    assert sum(x.target for x in s) == pytest.approx(1.5 * 2010)
+def test_the_excess_is_shared_again(spark):
+    sizes = spark.createDataFrame([(None, 1000), ("b", 1000), ("a", 10)], "source string, size bigint")
+    s = mixing.shares(sizes, (5, 2, 1), 1.5, 2.0).orderBy(F.col("source").isNull(), "source").collect()
+    assert [x["source"] for x in s] == ["a", "b", None] and s[0]["target"] == 20
+    assert sum(x["target"] for x in s) == pytest.approx(1.5 * 2010)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_random_sizes(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}" if i else None: rng.choice((0, 1, 7, 100, 5000)) * rng.randint(1, 9) for i in range(rng.choice((1, 2, 9, 40)))}
+    total = rng.choice((0.5, 1.5, 1.99, 2.5))
+    rows = mixing.shares(spark.createDataFrame(list(sizes.items()), "source string, size bigint"), (5, 2, 1), total, 2.0).collect()
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(brute_targets(sizes, total=total))
+
+
+def brute_mix(rows, target):
+    """Words taken and first positions, by walking each source's line: (id, text) to (taken, position)."""
+    out = {}
+    for source, of in rows.items():
+        start, size = 0, sum(n for *_, n in of)
+        goal = int(target[source])
+        for key, _, n in of:
+            taken = sum(max(0, min(n, goal - k * size - start)) for k in range(2))
+            out[key] = (taken, sum(goal - k * size > start and n > 0 for k in range(2)), start)
+            start += n
+    return out
+
+
+def test_taken_words_follow_the_lines(spark, hard):
+    """taken and passes of every row against a walk along the sources' lines, in the order that the rows' hashes give."""
+    base = hard.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    base = base.withColumn("order", F.xxhash64(F.lit("mixing order"), "doc_id", "h"))  # a single bucket: in order of the hash itself
+    lines, sizes = {}, {}
+    for r in sorted(base.collect(), key=lambda r: (r["order"], r["doc_id"] is not None, r["doc_id"] or 0)):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["t"]))
+        sizes[r["source"]] = sizes.get(r["source"], 0) + n
+        lines.setdefault(r["source"], []).append(((r["doc_id"], r["h"], r["source"], len(lines.get(r["source"], []))), r["order"], n))
+    want = brute_mix(lines, brute_targets(sizes))
+    want = sorted((str(k[0]), k[1], taken, passes) for k, (taken, passes, _) in want.items())
+    assert sorted((str(r["doc_id"]), r["text_hash"], r["taken"], r["passes"]) for r in mixing.mix(hard).collect()) == want
+
+
+def test_sources_that_are_not_broadcast(hard, monkeypatch):
+    cols = ["doc_id", "size", "target", "taken", "passes", "position"]
+    want = sorted(map(str, mixing.mix(hard).select(*cols).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(hard).select(*cols).collect())) == want
 
 
 def test_time_inverts_the_integral(spark):

@@ -59,3 +59,26 @@ def test_features_of_one_text_do_not_depend_on_its_neighbours():
     both = quality.text_features(np.frombuffer(b"".join(raw), np.uint8), at)
     for i, b in enumerate(raw):
         assert np.allclose(both[i], quality.text_features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0])
+
+
+def test_copies_of_a_labelled_document_count_once(spark):
+    """However often the documents repeat and in whatever order they come, the model is the same."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a = quality.train(docs, labels, rows=100)
+    b = quality.train(docs.union(docs).union(docs).repartition(5, "n_chars"), labels, rows=100)
+    assert a.intercept == b.intercept and all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+
+
+def test_boosted_tables_against_plain_boosting():
+    """One feature and no pairs: the table is the sum of the steps of a plain loop over the same bins."""
+    rng = np.random.default_rng(6)
+    x = rng.random((400, 1))
+    y = (x[:, 0] + rng.normal(0, 0.2, 400) > 0.5).astype(float)
+    model = quality.fit(x, y, pairs=0)
+    bins = np.searchsorted(model.edges[0], x[:, 0], "right")
+    shown = model.tables[0][bins] + model.intercept
+    rate = np.array([y[bins == b].mean() for b in np.unique(bins)])
+    of = np.array([shown[bins == b][0] for b in np.unique(bins)])
+    assert np.corrcoef(rate, 1 / (1 + np.exp(-of)))[0, 1] > 0.9
+    assert np.isclose((1 / (1 + np.exp(-shown))).mean(), y.mean(), atol=0.05)
