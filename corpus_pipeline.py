@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.llm import bpe, mixing, ngram_join, quality, suffixes
-from regionflow.llm.common import new_folder, small_batches, table
+from regionflow.llm.common import drop_folder, new_folder, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,11 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix begins them."""
-    placed = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("positions")).alias("_positions"))
-    placed = placed.filter(F.size("_positions") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_positions")
+    placed = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.explode("positions").alias("_position"))
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.withColumn("_own", own).dropDuplicates(["doc_id", "_own"])
     taken = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    each = taken.select(*docs.columns, F.explode("_positions").alias("_position"))
+    each = taken.select(*docs.columns, "_position")
     return mixing.stream(each, position_col="_position").select(*docs.columns)
 
 
@@ -64,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again; a table goes once the next one is written.
+
+    Rows with null ids, texts or sources take part as the stages say: a null text counts as empty, scores as such, is
+    near nothing and is never taken by the mix, as it has no words. An empty table gives no rows.
+    """
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     folder = new_folder(spark, "pipeline")
@@ -73,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                drop_folder(spark, f"{folder}/{i - 1}")
     return docs
