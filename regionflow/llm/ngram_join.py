@@ -130,6 +130,25 @@ def most_common(x: np.ndarray, n_x: np.ndarray, y: np.ndarray, n_y: np.ndarray)
     return np.minimum(x, y).sum(-1, dtype=np.int64) + beyond
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The finest groups, eight or more for each shingle, as a bit each: whether the group holds any."""
+    power = max(6, (8 * len(s) - 1).bit_length())
+    bits = np.zeros(1 << power, bool)
+    bits[(s >> np.uint64(64 - power)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common_by_bits(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """Upper bound of the overlap: a group that only one set has costs that set a shingle."""
+    a, b = (np.unpackbits(np.frombuffer(z, np.uint8)).view(bool) for z in (x, y))
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).any(1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).any(1)
+    both = int(np.count_nonzero(a & b))
+    return min(n_x - int(np.count_nonzero(a)), n_y - int(np.count_nonzero(b))) + both
+
+
 def fingerprint(s: np.ndarray) -> int:
     """Signed 64-bit id of a class of equal sets."""
     with np.errstate(over="ignore"):
@@ -330,15 +349,15 @@ def _of_class(batch: pa.RecordBatch, rule: Rule) -> tuple[pa.Array, list[np.ndar
 
 
 def points_of(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (fp, n, point, least) of texts (fp, text), dealt by fp for the joins to come; least: the class's smallest keys."""
+    """Rows (fp, n, point, least, bits) of texts (fp, text), dealt by fp for the joins to come; least: the class's smallest keys."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, sets = _of_class(batch, rule)
         least = [least_keys(s, rule, parts).tobytes() for s in sets]
-        return pa.record_batch([fps, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(least, pa.binary())], ["fp", "n", "point", "least"])
+        return pa.record_batch([fps, pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(least, pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], ["fp", "n", "point", "least", "bits"])
 
-    return cut(map_batches(texts, run, "fp bigint, n bigint, point binary, least binary").repartition(parts, "fp").dropDuplicates(["fp"]))
+    return cut(map_batches(texts, run, "fp bigint, n bigint, point binary, least binary, bits binary").repartition(parts, "fp").dropDuplicates(["fp"]))
 
 
 def sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -390,6 +409,20 @@ def bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
     return map_batches(both.select("a", "b", "p_a", "p_b", "n_a", "n_b"), run, "a bigint, b bigint, near double")
 
 
+def finer(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """Those pairs (a, b) that the bitmaps leave, so that few sets are sent that don't link."""
+    points = points.select("fp", "n", "bits")
+    both = pairs.join(points.toDF("a", "n_a", "x"), "a").join(points.toDF("b", "n_b", "y"), "b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = [batch.column(i).to_numpy() for i in (2, 3)]
+        common = [most_common_by_bits(x, i, y, j) for i, j, x, y in zip(n[0].tolist(), n[1].tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        chosen = pa.array(np.flatnonzero(np.array(common) >= rule.overlap(*n)))
+        return pa.record_batch([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
+
+    return map_batches(both.select("a", "b", "n_a", "n_b", "x", "y"), run, "a bigint, b bigint")
+
+
 def stars(rest: DataFrame, points: DataFrame, rule: Rule, turn: int) -> DataFrame:
     """A pair (a, b) for each class in blocks (key, fp, part, degree): with the nearest of its blocks' centres.
 
@@ -544,8 +577,8 @@ def _linked(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
         if turn < STAR_ROUNDS:
             pairs = stars(rest, points, rule, turn)
         else:
-            pairs = tree_pairs(rest.join(points, "fp"), rule, NEAREST if turn == STAR_ROUNDS else None)
-        pairs = cut_in_loop(pairs)
+            pairs = tree_pairs(rest.join(points.drop("bits"), "fp"), rule, NEAREST if turn == STAR_ROUNDS else None)
+        pairs = cut_in_loop(finer(cut_in_loop(pairs), points, rule))
         sweep(df.sparkSession)
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         found = cut_in_loop(verify(pairs, sets_of(texts_of(wanted, df, known, id_col, text_col), rule), rule))

@@ -98,6 +98,7 @@ def test_linked_sets_share_a_group(a, data):
     if b and a != b and 100 * len(a & b) >= 90 * len(a | b):
         x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
         assert set(nj.group_keys(x, rule).tolist()) & set(nj.group_keys(y, rule).tolist())
+        assert nj.most_common_by_bits(nj.bitmap(x), len(x), nj.bitmap(y), len(y)) >= len(a & b)
         assert nj.most_common(nj.point(x), np.int64(len(x)), nj.point(y), np.int64(len(y))) >= len(a & b)
 
 
@@ -173,3 +174,14 @@ def test_many_rows_without_an_id(spark):
     known = nj.cut(nj.signatures(df, rule, "doc_id", "text"))
     assert nj.texts_of(known.select("fp").distinct(), df, known, "doc_id", "text").count() == 81
     assert found(df, rule) == brute(rows, rule)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 700), st.integers(1, 700), st.integers(0, 2**32), st.floats(0, 1))
+def test_bitmaps_bound_the_overlap(n, m, seed, share):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    y = np.unique(np.r_[x[rng.random(len(x)) < share], rng.integers(0, 2**64, m, dtype=np.uint64)])
+    common = len(np.intersect1d(x, y))
+    bound = nj.most_common_by_bits(nj.bitmap(x), len(x), nj.bitmap(y), len(y))
+    assert common <= bound <= common + 0.6 * max(len(x), len(y)) + 1
