@@ -86,12 +86,17 @@ def grid_components(cells: DataFrame) -> DataFrame:
 
 
 def grid_regions(pixels: DataFrame, grid: int = GRID) -> DataFrame:
-    """(page_id, x, y, w, h, place): component boxes in pixels that are neither noise nor the page, in reading order."""
+    """(page_id, x, y, w, h, place): component boxes in pixels that are neither noise nor the page, in reading order; the
+    whole page where there is none."""
     c = grid_components(active_cells(pixels, grid))
     cw, ch = F.ceil(F.col("width") / grid), F.ceil(F.col("height") / grid)
     x, y = F.col("x0") * cw, F.col("y0") * ch
     boxes = c.select("page_id", x.alias("x"), y.alias("y"), (F.least((F.col("x1") + 1) * cw, F.col("width")) - x).alias("w"), (F.least((F.col("y1") + 1) * ch, F.col("height")) - y).alias("h"), (F.col("width") * F.col("height")).alias("page"))
     kept = boxes.filter((F.col("w") * F.col("h") > LEAST_AREA) & (F.col("w") * F.col("h") < MOST_SHARE * F.col("page")))
+    kept = kept.select("page_id", "x", "y", "w", "h")
+    none = F.lit(0).cast("long")
+    bare = _sizes(pixels).join(kept.select("page_id").distinct(), "page_id", "left_anti")
+    kept = kept.unionByName(bare.select("page_id", none.alias("x"), none.alias("y"), F.col("width").alias("w"), F.col("height").alias("h")))
     order = Window.partitionBy("page_id").orderBy(F.floor(F.col("y") / 200), F.col("x").desc(), "y", "w", "h")
     return kept.select("page_id", "x", "y", "w", "h", F.row_number().over(order).cast("long").alias("place"))
 
@@ -136,46 +141,52 @@ def threshold(page: np.ndarray) -> int:
     return int(between.argmax())
 
 
+def bounds(labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last column, first and last row, and number of pixels of the components 1, 2, ..., all in one pass."""
+    y, x = np.nonzero(labels)
+    of, n = labels[y, x] - 1, int(labels.max(initial=0))
+    low = [np.full(n, max(labels.shape)) for _ in range(2)]
+    high = [np.full(n, -1) for _ in range(2)]
+    for k, place in enumerate((x, y)):
+        np.minimum.at(low[k], of, place)
+        np.maximum.at(high[k], of, place)
+    return low[0], high[0], low[1], high[1], np.bincount(of, minlength=n)
+
+
+def holding_others(box: np.ndarray) -> np.ndarray:
+    """Which of the boxes (x, y, w, h) hold another, different one."""
+    low, high = box[:, :2], box[:, :2] + box[:, 2:]
+    inside = (low[None] >= low[:, None]).all(2) & (high[None] <= high[:, None]).all(2)
+    return (inside & (box[None] != box[:, None]).any(2)).any(1)
+
+
 def text_boxes(page: np.ndarray, radius: int = 6, least_area: int = 64, most_share: float = 0.5, least_ink: float = 0.0, drop_containers: bool = True, aspect: tuple[int, int] | None = None) -> list[tuple[int, int, int, int]]:
-    """Boxes (x, y, w, h) of dark text: threshold, dilate, label, undo the dilation, filter; ordered by y, then x."""
-    level = threshold(page)
-    rx, ry = aspect or (radius, radius)
-    labels = label(dilate(page <= level, rx, ry))
-    out = []
-    for k in range(1, int(labels.max(initial=0)) + 1):
-        ys, xs = np.nonzero(labels == k)
-        if not len(xs):
-            continue
-        x0, x1, y0, y1 = int(xs.min()), int(xs.max()), int(ys.min()), int(ys.max())
-        b = (min(x0 + rx, x1), min(y0 + ry, y1), max(x1 - x0 - 2 * rx, 1), max(y1 - y0 - 2 * ry, 1))
-        size = b[2] * b[3]
-        if size < least_area or size > most_share * page.size:
-            continue
-        if (page[b[1] : b[1] + b[3], b[0] : b[0] + b[2]] <= level).sum() < least_ink * size:
-            continue
-        out.append(b)
+    """Boxes (x, y, w, h) of dark text, ordered by y, then x: components of the grown ink, without what they grew by."""
+    grow = np.array(aspect or (radius, radius))
+    ink = page <= threshold(page)
+    left, right, top, bottom, _ = bounds(label(dilate(ink, *grow)))
+    first, last = np.stack([left, top], 1), np.stack([right, bottom], 1)
+    box = np.hstack([np.minimum(first + grow, last), np.maximum(last - first - 2 * grow, 1)])
+    area = box[:, 2] * box[:, 3]
+    sums = np.pad(ink.cumsum(0).cumsum(1), ((1, 0), (1, 0)))  # ink above and to the left
+    (x, y), (x_end, y_end) = box[:, :2].T, np.minimum(box[:, :2] + box[:, 2:], page.shape[::-1]).T
+    inked = sums[y_end, x_end] - sums[y, x_end] - sums[y_end, x] + sums[y, x]
+    box = box[(area >= least_area) & (area <= most_share * page.size) & (inked >= least_ink * area)]
     if drop_containers:
-        inside = lambda o, b: o != b and o[0] >= b[0] and o[1] >= b[1] and o[0] + o[2] <= b[0] + b[2] and o[1] + o[3] <= b[1] + b[3]
-        out = [b for b in out if not any(inside(o, b) for o in out)]
-    return sorted(out, key=lambda b: (b[1], b[0]))
+        box = box[~holding_others(box)]
+    return [tuple(b) for b in box[np.lexsort((box[:, 0], box[:, 1]))].tolist()]
 
 
 def enclosures(page: np.ndarray, floor: int = 2000, most_share: float = 0.5, ratio: float = 6.0, thin: float = 0.10) -> list[tuple[int, int, int, int]]:
     """Boxes of components that enclose others: large, holding at least one component six times smaller, thinly inked."""
-    ink = page <= threshold(page)
-    labels = label(ink)
-    found = []
-    for k in range(1, int(labels.max(initial=0)) + 1):
-        ys, xs = np.nonzero(labels == k)
-        if len(xs):
-            found.append((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, len(xs)))
-    out = []
-    for x, y, w, h, n in found:
-        size = w * h
-        holds = any(x < a and y < b and a + c < x + w and b + d < y + h and size >= ratio * c * d for a, b, c, d, _ in found)
-        if floor <= size <= most_share * page.size and holds and n < thin * size:
-            out.append((x, y, w, h))
-    return sorted(out, key=lambda b: (b[1], b[0]))
+    left, right, top, bottom, n = bounds(label(page <= threshold(page)))
+    w, h = right - left + 1, bottom - top + 1
+    size = w * h
+    large = np.flatnonzero((floor <= size) & (size <= most_share * page.size) & (n < thin * size))
+    inner = (left[large, None] < left) & (top[large, None] < top) & (right[large, None] > right) & (bottom[large, None] > bottom)
+    large = large[(inner & (size[large, None] >= ratio * size)).any(1)]
+    large = large[np.lexsort((left[large], top[large]))]
+    return list(zip(left[large].tolist(), top[large].tolist(), w[large].tolist(), h[large].tolist(), strict=True))
 
 
 def detect_pages(images: DataFrame, kernel=text_boxes) -> DataFrame:

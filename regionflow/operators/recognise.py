@@ -27,19 +27,30 @@ def model(name: str, factory: Callable[[], Recogniser]) -> Recogniser:
     return _models[name]
 
 
+def answers(engine: Recogniser, images: list[bytes]) -> list[tuple]:
+    """(text, confidence, token probabilities, error) of each image: predicted together, or one by one if that fails."""
+
+    def together(some: list[bytes]) -> list[tuple]:
+        found = [(text, float(confidence), list(tokens), None) for text, confidence, tokens in engine.predict(some)]
+        if len(found) != len(some):
+            raise ValueError(f"{len(found)} answers to {len(some)} images")
+        return found
+
+    try:
+        return together(images)
+    except Exception as why:  # noqa: BLE001  one image's failure must not end the run
+        if len(images) == 1:
+            return [(None, None, None, f"{type(why).__name__}: {why}")]
+    return [row for image in images for row in answers(engine, [image])]
+
+
 def recognise(crops: DataFrame, name: str, factory: Callable[[], Recogniser], engine: int = 0, key: str = "key", image: str = "png") -> DataFrame:
     """(key, engine, answer, confidence, token_probabilities, error). An image that fails has an error and no confidence."""
     kinds = (pa.string(), pa.float64(), pa.list_(pa.float64()), pa.string())
 
     def run(batches):
         for batch in batches:
-            engine_model, rows = model(name, factory), []
-            for data in batch.column(1).to_pylist():
-                try:
-                    text, confidence, tokens = engine_model.predict([data])[0]
-                    rows.append((text, float(confidence), list(tokens), None))
-                except Exception as why:  # noqa: BLE001  one image's failure must not end the run
-                    rows.append((None, None, None, f"{type(why).__name__}: {why}"))
+            rows = answers(model(name, factory), batch.column(1).to_pylist())
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array([engine] * len(rows), pa.int64()), *columns], [key, "engine", "answer", "confidence", "token_probabilities", "error"])
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.functions.numeric import upper_median
-
 # Length buckets, and the error rate that passes the gate.
 BUCKETS = ((1, 8), (9, 14), (15, 22), (23, 34), (35, 200))
 PASS_CER = 0.05
@@ -22,9 +20,21 @@ def length_buckets(samples: DataFrame, label: str = "label_len", out: str = "out
 
 
 def deltas(df: DataFrame, value: Column, key: str) -> DataFrame:
-    """(key, n, mean, median, least, most); the median is the upper of the middle two. Groups are held whole: use keys of bounded groups."""
-    d = df.select(key, value.alias("d")).groupBy(key).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.collect_list("d").alias("all"), F.min("d").alias("least"), F.max("d").alias("most"))
-    return d.select(key, "n", "mean", upper_median(F.col("all")).alias("median"), "least", "most")
+    """(key, n, mean, median, least, most) of values that aren't null; the median is the upper of the middle two.
+
+    Equal values are counted before anything is ordered, so a window holds a row for each different value.
+    """
+    counts = df.select(key, value.alias("d")).filter("d is not null").groupBy(key, "d").agg(F.count(F.lit(1)).alias("c"))
+    by = Window.partitionBy(key).orderBy("d")
+    counts = counts.withColumn("upto", F.sum("c").over(by)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("d")))
+    return counts.groupBy(key).agg(F.sum("c").alias("n"), (F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("mean"), middle.alias("median"), F.min("d").alias("least"), F.max("d").alias("most"))
+
+
+def of_kind(labels: DataFrame, kind: str, kind_col: str = "label_kind") -> tuple[DataFrame, DataFrame]:
+    """(the labels of a kind, one row: how many are kept and how many excluded). A label without a kind is excluded."""
+    wanted = F.coalesce(F.col(kind_col) == kind, F.lit(False))
+    return labels.filter(wanted), labels.agg(F.count_if(wanted).alias("kept"), F.count_if(~wanted).alias("excluded"))
 
 
 def gate(scored: DataFrame, status: str = "status", cer: str = "cer") -> DataFrame:

@@ -195,3 +195,45 @@ def test_recognisers(spark):
     assert panel.decide(recognise.panel(crops, [("x", Reader, 0.05)]), key="key").count() == 1
     with pytest.raises(ValueError):
         recognise.panel(crops, [])
+
+
+def test_recognisers_get_whole_batches():
+    from regionflow.operators import recognise as rec
+
+    class Engine:
+        calls: list[int] = []
+
+        def predict(self, images):
+            self.calls.append(len(images))
+            if b"bad" in images:
+                raise RuntimeError("no text")
+            return [(i.decode(), 0.5, [0.5]) for i in images]
+
+    engine = Engine()
+    assert [r[0] for r in rec.answers(engine, [b"a", b"b", b"c"])] == ["a", "b", "c"] and engine.calls == [3]
+    mixed = rec.answers(engine, [b"a", b"bad", b"c"])
+    assert [r[0] for r in mixed] == ["a", None, "c"] and mixed[1][3] == "RuntimeError: no text"
+
+
+def test_boxes_of_components_against_a_loop():
+    rng = np.random.default_rng(1)
+    labels = detect.label(rng.random((40, 60)) < 0.2)
+    left, right, top, bottom, n = detect.bounds(labels)
+    for k in range(1, labels.max() + 1):
+        y, x = np.nonzero(labels == k)
+        assert (left[k - 1], right[k - 1], top[k - 1], bottom[k - 1], n[k - 1]) == (x.min(), x.max(), y.min(), y.max(), len(x))
+    box = np.array([[0, 0, 10, 10], [2, 2, 3, 3], [0, 0, 10, 10], [20, 20, 4, 4]])
+    assert detect.holding_others(box).tolist() == [True, False, True, False]
+    assert detect.text_boxes(np.full((20, 20), 255, np.uint8), drop_containers=True, most_share=0.1) == []
+
+
+def test_medians_of_counted_values(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", 5.0), ("b", 3.0), ("b", None)]
+    out = {r["k"]: r for r in stats.deltas(spark.createDataFrame(rows, "k string, v double"), F.col("v"), "k").collect()}
+    assert (out["a"]["n"], out["a"]["mean"], out["a"]["median"], out["a"]["least"], out["a"]["most"]) == (4, 2.25, 2.0, 1.0, 5.0)
+    assert (out["b"]["n"], out["b"]["median"]) == (1, 3.0)
+
+
+def test_labels_without_a_kind_are_excluded(spark):
+    kept, report = stats.of_kind(spark.createDataFrame([("x", "dialogue"), ("y", "sfx"), ("z", None)], "text string, label_kind string"), "dialogue")
+    assert [r["text"] for r in kept.collect()] == ["x"] and tuple(report.first()) == (1, 2)
