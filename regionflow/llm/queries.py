@@ -50,6 +50,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.features(avi.write_column(table(spark, sf_dir, "documents")))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips of the media that op5 writes."""
+    return avi.clips(avi.write_column(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.stream(mixed).select("doc_id", "size", "source_size", "target", "taken", "passes", "position")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "media_clips": media_clips,
 }
 
 SQL: dict[str, str] = {}

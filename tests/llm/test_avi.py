@@ -19,13 +19,13 @@ def test_round_trip(data):
     layout = avi.parse(media)
     assert len(payload) % avi.UNIT == 0 and payload
     assert (layout.width, layout.height, layout.rate) == (avi.WIDTH, avi.HEIGHT, avi.RATE)
-    assert avi.frames(media, layout).tobytes() == payload
+    assert avi.frames(media).tobytes() == payload
 
 
 def test_stuffed_frames():
     payload = bytes([0, 255] * 96 * 5)  # differences of 255 need stuffing
     media = avi.write(payload)
-    assert avi.frames(media, avi.parse(media)).tobytes() == payload
+    assert avi.frames(media).tobytes() == payload
 
 
 def test_any_huffman_table_is_read():
@@ -45,10 +45,10 @@ def test_any_huffman_table_is_read():
     counts[3] = 9
     marker = lambda k, b: bytes([0xFF, k]) + struct.pack(">H", len(b) + 2) + b
     jpeg = b"\xff\xd8" + marker(0xC4, bytes([0, *counts, *range(9)])) + marker(0xC3, struct.pack(">BHHB3B", 8, 4, 6, 1, 1, 0x11, 0)) + marker(0xDA, bytes([1, 1, 0, 1, 0, 0])) + scan + b"\xff\xd9"
-    assert (avi._frame(jpeg) == samples).all()
+    assert (avi.frames(avi._file([jpeg])) == samples).all()
 
 
-def test_the_fixed_width_table_is_canonical():
+def test_the_table_is_canonical():
     codes = avi._canonical(avi.LENGTHS)
     words = [f"{c:0{n}b}" for c, n in codes.values()]
     assert all(not b.startswith(a) for a in words for b in words if a is not b)
@@ -76,3 +76,64 @@ def test_columns(hard, empty, clashing):
     assert clips.groupBy("doc_id").sum("n_frames").count() > 5
     assert avi.features(avi.write_column(empty)).count() == 0
     assert avi.features(avi.write_column(clashing)).count() == clashing.count()
+
+
+def test_the_table_follows_the_counts():
+    """Prose takes fewer bits than its bytes, and a code of ones only stays free."""
+    text = (b"The quick brown fox jumps over the lazy dog while seven wizards brew potions. " * 50)[: avi.UNIT * 20]
+    bits = 8 * sum(len(x) for x in avi.scans(np.frombuffer(text, np.uint8).reshape(-1, avi.HEIGHT, avi.WIDTH)))
+    assert bits < 8 * len(text)
+    assert all(code != (1 << n) - 1 for code, n in avi._canonical(avi.LENGTHS).values())
+    assert sum(2.0**-n for n in avi.LENGTHS.values()) < 1 and max(avi.LENGTHS.values()) <= 16
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.binary(max_size=900), min_size=1, max_size=6))
+def test_files_of_a_batch_are_read_side_by_side(data):
+    payloads = [avi.pad(d) for d in data]
+    assert [x.tobytes() for x in avi.frames_of(avi.write_all(payloads))] == payloads
+
+
+def test_a_file_without_an_index_is_walked():
+    payload = avi.pad(b"some words " * 200)
+    media = avi.write(payload)
+    bare = media[: media.index(b"idx1")]
+    assert avi.frames(bare).tobytes() == payload
+
+
+def test_damaged_media_end_nothing(spark):
+    good = avi.write(avi.pad(b"a text of some words " * 40))
+    at = avi.parse(good).starts[1]
+    scan = bytearray(good)
+    scan[at + len(avi._HEAD) : at + len(avi._HEAD) + 20] = b"\x00" * 20
+    short = good[: len(good) // 2]
+    rows = [(1, 10, good), (2, 10, b""), (3, 10, b"RIFFxxxxAVI "), (4, 10, bytes(scan)), (5, 10, short), (6, 10, good), (7, 10, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")
+    found = {r["doc_id"]: r for r in avi.features(df).collect()}
+    assert len(found) == 7 and found[1]["payload_sha256"] == found[6]["payload_sha256"] is not None
+    assert all(found[k]["payload_sha256"] is None and found[k]["feature"].startswith("unreadable") for k in (2, 3, 5))
+    clips = avi.clips(df).collect()
+    assert {r["doc_id"] for r in clips if r["error"]} >= {2, 3, 5} and all(r["error"] is None for r in clips if r["doc_id"] in (1, 6))
+    assert 7 not in {r["doc_id"] for r in clips}
+
+
+def brute_shots(x, memory=24, k=3.0, floor=0.25):
+    """Cuts by a plain loop over histograms of 16 levels."""
+    hist = [np.bincount(f.ravel() >> 4, minlength=16) for f in x]
+    d = [0.0] + [float(np.abs(b - a).sum()) / (2 * x[0].size) for a, b in zip(hist, hist[1:], strict=False)]
+    out = [0]
+    for i in range(1, len(x)):
+        past = d[max(1, i - memory) : i]
+        mean = sum(past) / max(len(past), 1)
+        spread = (max(sum(v * v for v in past) / max(len(past), 1) - mean * mean, 0)) ** 0.5
+        if d[i] > floor and d[i] > mean + k * spread + 1e-12:
+            out.append(i)
+    return out
+
+
+def test_shots_against_a_plain_loop():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        levels = np.repeat(rng.integers(0, 200, 12), rng.integers(1, 40, 12))
+        x = (levels[:, None, None] + rng.integers(0, 30, (len(levels), avi.HEIGHT, avi.WIDTH))).clip(0, 255).astype(np.uint8)
+        assert avi.shots(x)[0].tolist() == brute_shots(x)
