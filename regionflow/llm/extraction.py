@@ -266,6 +266,15 @@ class _Composer:
             body = self.links(2, 5)
         return f"<{tag}{attributes} data-k=0>{body}</{tag}>"
 
+    def hidden(self) -> str:
+        """What a page holds beside its text: metadata, styles, and scripts with markup in their strings."""
+        r, tag = self.r, self.r.choice(("p", "div", "a", "li"))
+        return r.choice((
+            f'<meta name="{self.word()}" content="{self.sentence()}">', f'<link rel="{self.word()}" href="/{self.word()}.css">', f"<!-- {self.sentence()} -->",
+            f"<style>.{self.word()} {{ color: #{r.randint(100, 999)} }}</style>", f"<script>function {self.word()}(x) {{ return x < {r.randint(0, 9)}; }}</script>",
+            f'<script>document.write("<{tag}>{self.word()}</{tag}>");</script>', f'<script type="application/ld+json">{{"{self.word()}": "{self.sentence()}"}}</script>', f"<noscript>{self.sentence()}</noscript>",
+        ))
+
     def article(self) -> str:
         r, out = self.r, []
         heading = self.sentence(2, 9)
@@ -278,7 +287,8 @@ class _Composer:
                     inner = f"<b>{self.word()}</b> {inner}"
                 if r.random() < 0.3:
                     inner += f' <a href="/{self.word()}">{self.sentence(1, 3)}</a> {self.sentence()}'
-                out.append(r.choice((f"<p>{inner}</p>", f"<p>{inner}</p>", f"<p>{inner}", f"<p><b>{inner}<br>", f"<div>{inner}</div>")))
+                open_ = r.choice(("b", "i", "em", "strong", "span", "font"))
+                out.append(r.choice((f"<p>{inner}</p>", f"<p>{inner}</p>", f"<p>{inner}", f"<p><{open_}>{inner}{r.choice(('', '<br>', '</p>'))}", f"<div>{inner}</div>")))
             elif x < 0.72:
                 out.append(f"<h2>{self.sentence(1, 6)}</h2>")
             elif x < 0.82:
@@ -295,8 +305,22 @@ class _Composer:
         attributes = self.name(_MAIN_NAMES)
         return f"<{tag}{attributes}>" + "".join(out) + f"</{tag}>"
 
+    def nameless(self) -> str:
+        """A page of blocks whose classes say nothing: links around text."""
+        r = self.r
+        own = lambda: f'class="{self.word()}{r.randint(0, 99)}"'
+        menu = lambda: f'<div {own()} data-k=0>{self.links(4, 12)}</div>'
+        inner = own()
+        text = "".join(f"<{t}>{self.prose(1, 4)}</{t.split()[0]}>" for t in [r.choice((f"div {inner}", "p"))] * r.randint(2, 9))
+        parts = [menu() for _ in range(r.randint(1, 2))] + [f"<div {own()}>{text}</div>"] + [menu() for _ in range(r.randint(0, 2))]
+        return f"<html><head><title>{self.sentence(1, 4)}</title></head><body>{''.join(parts)}</body></html>"
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.12:  # names without meaning: menus and text in plain blocks
+            return self.nameless()
+        if r.random() < 0.1:  # a fragment: text alone, without a page around it
+            return r.choice((f'<div class="{self.word()}">{self.word()}</div>', f"<p>{self.prose(1, 2)}</p>", f"<div>{self.sentence()}</div>", self.sentence(), f"<p>{self.sentence()}</p>\n<p>{self.sentence()}<br>{self.word()}", self.article()))
         before = [k for k, p in (("notice", 0.3), ("header", 0.6), ("menu", 0.75), ("form", 0.25), ("advert", 0.5)) if r.random() < p]
         after = [k for k, p in (("comments", 0.35), ("share", 0.3), ("side", 0.45), ("advert", 0.25), ("form", 0.2), ("footer", 0.8), ("notice", 0.2)) if r.random() < p]
         if r.random() < 0.5:
@@ -309,7 +333,9 @@ class _Composer:
         body += "".join(self.clutter(k) for k in after)
         if r.random() < 0.3:
             body = f'<div{self.name(_WRAPPERS)}>{body}</div>'
-        head = f'<head><title>{self.sentence(1, 6)}</title><script>var a="</p>";</script><style>p{{margin:0}}</style></head>'
+        head = f"<head><title>{self.sentence(1, 6)}</title>{''.join(self.hidden() for _ in range(r.randint(0, 3)))}</head>"
+        if r.random() < 0.3:
+            body += self.hidden()
         return f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
 
 

@@ -86,3 +86,46 @@ def test_tables(spark):
     out = extraction.extract(spark.createDataFrame(rows, schema), extraction.trained()).collect()
     assert len(out) == 6 and out[0]["text"] == "" and sum(r["text"] == "" for r in out) == 3
     assert extraction.extract(spark.createDataFrame([], schema), extraction.trained()).count() == 0
+
+
+def other_shapes(seed):
+    """Pages unlike the composed ones: tables for layout, classes without meaning, names in other languages, old markup."""
+    import random
+
+    r = random.Random(seed)
+    words = "der wind trägt das boot über den stillen see while the keeper counts lamps le soir tombe sur la ville and nobody answers".split()
+    line = lambda n: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    prose = [line(r.randint(8, 40)) for _ in range(r.randint(3, 9))]
+    links = [line(2).rstrip(".") for _ in range(r.randint(4, 10))]
+    note = line(6)
+    nav = "".join(f"<a href=#>{x}</a> " for x in links)
+    text = " ".join(prose)
+    shapes = [
+        f"<table><tr><td width=120>{'<br>'.join(f'<a href=#>{x}</a>' for x in links)}</td><td>{''.join(f'<p>{x}</p>' for x in prose)}</td></tr></table><center><small>{note}</small></center>",
+        f"<div class=c1>{nav}</div><div class='x7 q'>{''.join(f'<div class=z3>{x}</div>' for x in prose)}</div><div class=c9>{nav}{note}</div>",
+        f"<div id=navigation><ul>{''.join(f'<li><a href=#>{x}</a></li>' for x in links)}</ul></div><div id=inhalt>{''.join(f'<p>{x}</p>' for x in prose)}</div><div id=fusszeile><p>{note}</p></div>",
+        f"<main><section>{''.join(f'<p>{x}</p>' for x in prose[:2])}</section><section>{''.join(f'<p>{x}</p>' for x in prose[2:])}</section></main><aside><p>{note}</p>{nav}</aside>",
+        f"<body bgcolor=white>{nav}<hr><font size=3>{'<p>'.join(['', *prose])}</font><hr><font size=1>{nav}</font>",
+    ]
+    return [(x, text) for x in shapes]
+
+
+def test_pages_of_other_shapes():
+    from collections import Counter
+
+    model, scores = extraction.trained(), []
+    for seed in range(20):
+        for shape, (source, want) in enumerate(other_shapes(seed)):
+            a, b = Counter(extraction.main_text(source, model).split()), Counter(want.split())
+            common = sum((a & b).values())
+            scores.append((shape, 2 * common / max(1, sum(a.values()) + sum(b.values()))))
+    by_shape = [sum(f for s, f in scores if s == k) / 20 for k in range(5)]
+    print("F1 by shape", [round(x, 3) for x in by_shape])
+    assert sum(by_shape) / 5 > 0.8
+
+
+def test_string_ids_and_very_long_pages(spark):
+    words = " ".join(f"word{i}" for i in range(60_000))
+    rows = [("a-1", "u", f"<nav><a href=x>menu</a></nav><article><p>{words}</p></article>"), (None, "u", "<div>" * 40_000 + "deep"), ("a-1", None, "<p>" + "<i>x</i> " * 20_000)]
+    out = {(r["page_id"], r["url"]): r for r in extraction.extract(spark.createDataFrame(rows, "page_id string, url string, html string"), extraction.trained()).collect()}
+    assert len(out) == 3 and out["a-1", "u"]["text"] == words and out["a-1", "u"]["n_chars"] == len(words)
