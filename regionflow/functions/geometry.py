@@ -102,6 +102,11 @@ def enclosure_bounds(b: Box, kind: Column) -> Box:
     return Box(F.greatest(b.x - mx, F.lit(0)), F.greatest(b.y - my, F.lit(0)), b.w + 2 * mx, b.h + 2 * my)
 
 
+def enclosure_name(kind: Column) -> Column:
+    """The name that files use for a kind of enclosure; an unknown kind is null."""
+    return F.when(kind == "Balloon", "balloon").when(kind == "CaptionBox", "caption-box").when(kind == "None", "none")
+
+
 def crop(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
     """Pixel crop struct<x,y,w,h> of bounds in 0..1, origin rounded down and far edge up; null if invalid or empty."""
     sides = (left, top, right, bottom)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,11 +114,33 @@ def digest(value: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(value, 256))
 
 
-def clean_path(text: Column) -> Column:
-    """Home folders, file URLs and drive letters out of a text."""
-    out = F.regexp_replace(text, r"file://[^\s)\"']*/", "")
-    out = F.regexp_replace(out, r"/(?:home|Users)/[^/\s]+/", "~/")
-    return F.regexp_replace(out, r"[A-Za-z]:\\\\Users\\\\[^\\\s]+\\\\", "~/")
+# Local paths and what stands for them; {project} is the name of a checkout.
+LOCAL_PATHS = (
+    (r"file:///[^\s)\"']+/{project}/", ""),
+    (r"file:///[^\s)\"']+", ""),
+    (r"/Users/[a-zA-Z0-9_\-]+/Projects/{project}/", ""),
+    (r"/Users/[a-zA-Z0-9_\-]+/Projects/", "reference/"),
+    (r"/Users/[a-zA-Z0-9_\-]+/", "~/"),
+)
+
+
+def clean_path(text: Column, project: str) -> Column:
+    """A text without local paths, those of a project made relative to it."""
+    for pattern, instead in LOCAL_PATHS:
+        text = F.regexp_replace(text, pattern.replace("{project}", re.escape(project)), instead)
+    return text
+
+
+def pair_name(layer: Column, region: Column) -> Column:
+    return F.format_string("pair_%04d_%06d", layer, region)
+
+
+def object_name(ordinal: Column) -> Column:
+    return F.format_string("co-%03d", ordinal)
+
+
+def mask_name(identity: Column) -> Column:
+    return F.concat(F.lit("mask-"), identity.cast("string"))
 
 
 def wordpiece_text(tokens: Column) -> Column:

@@ -19,6 +19,11 @@ def mean_level(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("page_id").agg(F.floor(F.sum("v") / F.count(F.lit(1))).alias("mean"))
 
 
+def ink_coverage(pixels: DataFrame, below: int = 128) -> DataFrame:
+    """(page_id, ink): the share of dark pixels."""
+    return pixels.groupBy("page_id").agg(F.avg((F.col("v") < below).cast("int")).alias("ink"))
+
+
 def histogram(pixels: DataFrame) -> DataFrame:
     """(page_id, v, n): at most 256 rows a page."""
     return pixels.groupBy("page_id", "v").agg(F.count(F.lit(1)).alias("n"))

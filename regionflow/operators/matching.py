@@ -98,3 +98,24 @@ def split_matches(loose: DataFrame, truth: DataFrame, least: float = 0.5) -> Dat
     t = prefixed(truth.select("page_id", "x", "y", "w", "h"), "t_")
     best = two.join(t, "page_id").groupBy("page_id", "idx").agg(F.max(g.iou(g.box("u_"), g.box("t_"))).alias("best"))
     return best.filter(F.col("best") >= least)
+
+
+def first_panel(regions: DataFrame, panels: DataFrame) -> DataFrame:
+    """(page_id, idx, panel): the lowest-numbered panel of the page that contains a region's centre; null if none does."""
+    a = prefixed(regions.select("page_id", "idx", "x", "y", "w", "h"), "a_")
+    b = prefixed(panels.select("page_id", "panel", "x", "y", "w", "h"), "b_").withColumnRenamed("page_id", "b_page")
+    joined = a.join(b, (F.col("page_id") == F.col("b_page")) & g.centre_inside(g.box("b_"), g.box("a_")), "left")
+    return joined.groupBy("page_id", F.col("a_idx").alias("idx")).agg(F.min("b_panel").alias("panel"))
+
+
+def region_texts(regions: DataFrame, layers: DataFrame) -> DataFrame:
+    """Every region with every reading of it: layers (layer_id, language, regions) hold readings by region_id. A region
+    that no layer reads has nulls; a reading of an unknown region is left out."""
+    texts = layers.select("layer_id", "language", F.explode("regions").alias("reading")).select("layer_id", "language", F.col("reading.region_id").alias("region_id"), F.col("reading.text").alias("text"))
+    return regions.join(texts, "region_id", "left")
+
+
+def smallest(boxes: DataFrame, n: int = 14) -> DataFrame:
+    """The n boxes of least area, for a report; ties by page and index."""
+    area = g.area(g.box())
+    return boxes.select("page_id", "idx", "x", "y", "w", "h", area.alias("area")).orderBy("area", "page_id", "idx").limit(n)

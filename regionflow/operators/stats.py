@@ -53,6 +53,19 @@ def best_setting(df: DataFrame, group: str, setting: str, order: str, value: str
 
 
 def rollup_pages(tiles: DataFrame) -> DataFrame:
-    """(page_id, regions, text, confidence): tiles joined to regions without a space, regions to a page by line breaks."""
-    regions = tiles.groupBy("page_id", "region").agg(F.array_join(F.array_sort(F.collect_list(F.struct("tile", "text")))["text"], "").alias("text"), F.avg("confidence").alias("confidence"))
-    return regions.groupBy("page_id").agg(F.count(F.lit(1)).alias("regions"), F.array_join(F.array_sort(F.collect_list(F.struct("region", "text")))["text"], "\n").alias("text"), F.avg("confidence").alias("confidence"))
+    """(page_id, regions, text, confidence, duration_ms): tiles joined to regions without a space, regions to a page by line
+    breaks; confidences are averaged, durations summed."""
+    regions = tiles.groupBy("page_id", "region").agg(F.array_join(F.array_sort(F.collect_list(F.struct("tile", "text")))["text"], "").alias("text"), F.avg("confidence").alias("confidence"), F.sum("duration_ms").alias("duration_ms"))
+    return regions.groupBy("page_id").agg(F.count(F.lit(1)).alias("regions"), F.array_join(F.array_sort(F.collect_list(F.struct("region", "text")))["text"], "\n").alias("text"), F.avg("confidence").alias("confidence"), F.sum("duration_ms").alias("duration_ms"))
+
+
+def paired(real: DataFrame, made: DataFrame, text: str, confidence: str) -> DataFrame:
+    """(text, real, made): confidences of real readings beside that of what was made from the same text, the best if made twice."""
+    other = made.groupBy(text).agg(F.max(confidence).alias("made"))
+    return real.select(text, F.col(confidence).alias("real")).join(other, text)
+
+
+def clip(pages: DataFrame, count: str, cap: int = 120) -> DataFrame:
+    """pages with what a cap on regions keeps and discards, by what was drawn, never by what was asked for."""
+    n = F.col(count)
+    return pages.withColumns({"expected_kept": F.least(n, F.lit(cap)).cast("long"), "expected_discarded": F.greatest(n - cap, F.lit(0)).cast("long")})

@@ -101,6 +101,13 @@ def resolution(margin: Column) -> Column:
     return F.when(safe < MARGIN, "human-review-required").otherwise("resolved")
 
 
+def ambiguity(primary: Column, alternatives: Column) -> tuple[Column, Column]:
+    """(margin, status) of a hypothesis against the first of its alternatives' confidences; without one there is no margin,
+    and it is resolved."""
+    margin = F.abs(primary - F.get(alternatives, F.lit(0)))
+    return margin, resolution(margin)
+
+
 def speakers(tails: DataFrame) -> DataFrame:
     """Nearest of two speakers for tails (id, tx, ty, ax, ay, bx, by): choice, confidence, margin, status.
 
@@ -112,3 +119,14 @@ def speakers(tails: DataFrame) -> DataFrame:
     a = F.coalesce(F.col("pa") >= F.col("pb"), F.lit(False))
     margin = F.abs(F.col("pa") - F.col("pb"))
     return d.select("id", F.when(a, "a").otherwise("b").alias("speaker"), F.when(a, F.col("pa")).otherwise(F.col("pb")).alias("confidence"), margin.alias("margin"), resolution(F.coalesce(margin, F.lit(float("nan")))).alias("status"))
+
+
+# Words that stand for a result that was never computed.
+PLACEHOLDERS = ("ONNX_NATIVE_PREDICTION", "PLACEHOLDER", '"STUB"', '"DUMMY"')
+
+
+def placeholders(sources: DataFrame, name: str, text: str) -> DataFrame:
+    """(name, line, word) of lines that hold a placeholder; comment lines may name one."""
+    lines = sources.select(name, F.posexplode(F.split(text, "\n")).alias("k", "body")).withColumn("body", F.trim("body")).filter(~F.startswith("body", F.lit("//")))
+    words = F.filter(F.array(*(F.lit(w) for w in PLACEHOLDERS)), lambda w: F.contains(F.col("body"), w))
+    return lines.select(name, (F.col("k") + 1).cast("long").alias("line"), F.explode(words).alias("word"))

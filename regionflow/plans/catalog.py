@@ -12,7 +12,7 @@ from regionflow.functions import numeric as m
 from regionflow.functions import text as t
 from regionflow.operators import decoding, detect, export, layout, matching, panel, stats, tokenizer, validate, vocab
 from regionflow.plans.views import PAGE, boxes, candidates, detections, logits, panels, readings, table
-from regionflow.sources import synth
+from regionflow.sources import schema, synth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,14 +120,14 @@ def direction_parse(spark, sf):
 
 @query
 def path_sanitise(spark, sf):
-    made = F.concat(F.lit("see file:///data/x/"), F.col("url"), F.lit(" in /home/user"), F.col("page_id").cast("string"), F.lit("/notes.txt"))
-    return table(spark, sf, "pages").select("page_id", t.clean_path(made).alias("out"))
+    made = F.concat(F.lit("see file:///data/x/flow/"), F.col("url"), F.lit(" file:///data/y/z.txt in /Users/user"), F.col("page_id").cast("string"), F.lit("/Projects/flow/a /Users/me/Projects/b /Users/x-y/c"))
+    return table(spark, sf, "pages").select("page_id", t.clean_path(made, "flow").alias("out"))
 
 
 @query
 def id_formats(spark, sf):
     i = F.col("page_id")
-    return table(spark, sf, "pages").select("page_id", F.format_string("co-%03d", i).alias("co"), F.format_string("pair_%04d_%06d", i % 50, i).alias("pair"), F.concat(F.lit("mask-"), i).alias("mask"))
+    return table(spark, sf, "pages").select("page_id", t.object_name(i).alias("co"), t.pair_name(i % 50, i).alias("pair"), t.mask_name(i).alias("mask"))
 
 
 @query
@@ -192,8 +192,9 @@ def confidence_geomean(spark, sf):
 
 @query
 def page_rollup(spark, sf):
-    tiles = table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 8).alias("page_id"), F.col("conv_id").alias("region"), F.col("turn").alias("tile"), "text", ((F.col("conv_id") * 13 + F.col("turn")) % 100 / 100.0).alias("confidence"))
-    return stats.rollup_pages(tiles).withColumn("confidence", F.round("confidence", 6))
+    i, n = F.col("conv_id"), F.col("turn")
+    tiles = table(spark, sf, "conversations").select(F.floor(i / 8).alias("page_id"), i.alias("region"), n.alias("tile"), "text", ((i * 13 + n) % 100 / 100.0).alias("confidence"), ((i * 7 + n) % 50 / 10.0).cast("double").alias("duration_ms"))
+    return stats.rollup_pages(tiles).withColumns({"confidence": F.round("confidence", 6), "duration_ms": F.round("duration_ms", 2)})
 
 
 # --- geometry --------------------------------------------------------------------------------------------
@@ -350,12 +351,10 @@ def false_positive_classes(spark, sf):
 
 @query
 def region_panel_assign(spark, sf):
-    """The first panel, a column of the page, that contains a region's centre."""
-    b = boxes(spark, sf).select("page_id", "idx", "x", "y", "w", "h")
-    cols = F.array(*(F.struct(F.lit(k).cast("long").alias("panel"), F.lit(300 * k).cast("long").alias("px")) for k in range(4)))
-    each = b.select("*", F.explode(cols).alias("c"))
-    inside = (F.col("x") + F.floor(F.col("w") / 2) >= F.col("c.px")) & (F.col("x") + F.floor(F.col("w") / 2) < F.col("c.px") + 350)
-    return each.groupBy("page_id", "idx").agg(F.min(F.when(inside, F.col("c.panel"))).alias("panel"))
+    """The first panel that contains a region's centre; four overlapping columns on each page."""
+    pages_ = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("panel"))
+    columns = pages_.select("page_id", "panel", (F.col("panel") * 300).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(350).cast("long").alias("w"), F.lit(2 * PAGE[1]).cast("long").alias("h"))
+    return matching.first_panel(boxes(spark, sf), columns)
 
 
 # --- validation ------------------------------------------------------------------------------------------
@@ -446,10 +445,11 @@ def speaker_attribution(spark, sf):
 
 @query
 def ambiguity_margin(spark, sf):
-    c = candidates(spark, sf)
-    first = c.groupBy("region_id").agg(F.max("confidence").alias("a"), F.min("confidence").alias("b"))
-    margin = F.col("a") - F.col("b")
-    return first.select("region_id", F.round(margin, 6).alias("margin"), validate.resolution(F.round(margin, 6)).alias("status"))
+    """The first engine's reading against the others' in order; a fifth of the regions have no alternative."""
+    c = candidates(spark, sf).groupBy("region_id").agg(F.max(F.when(F.col("engine") == 0, F.col("confidence"))).alias("primary"), F.array_sort(F.collect_list(F.when(F.col("engine") > 0, F.struct("engine", "confidence")))).alias("others"))
+    others = F.when(F.col("region_id") % 5 == 0, F.array().cast("array<double>")).otherwise(F.col("others.confidence"))
+    margin, status = validate.ambiguity(F.col("primary"), others)
+    return c.select("region_id", F.round(margin, 6).alias("margin"), status.alias("status"))
 
 
 # --- export ----------------------------------------------------------------------------------------------
@@ -488,9 +488,17 @@ def export_record_digest(spark, sf):
     return export.records(_judged(spark, sf), _GOLD).select("region_id", "record_digest")
 
 
+@query
+def export_records(spark, sf):
+    return export.records(_judged(spark, sf), _GOLD).select("region_id", "record")
+
+
 @query
 def manifest_digest(spark, sf):
-    return export.manifest_digest(export.records(_judged(spark, sf), _GOLD), _GOLD)
+    """A manifest for each page of 50 regions. The tables have no pixels, so a crop's digest is that of its page and box."""
+    judged = _judged(spark, sf).withColumn("page_id", F.floor(F.col("region_id") / 50)).withColumn("page_digest", F.concat(F.lit("page-"), "page_id"))
+    box = t.digest(F.concat_ws("|", "page_id", "crop.x", "crop.y", "crop.w", "crop.h"))
+    return export.manifests(judged, _GOLD, "page_id", box).select("page_id", "pairs", "manifest_digest")
 
 
 @query
@@ -558,12 +566,11 @@ def sequence_confidence(spark, sf):
 
 @query
 def delta_stats(spark, sf):
-    """Paired differences of two engines' confidences for one text, by residue of the region."""
+    """Differences of two engines' confidences, paired by the text that both should read, by the text's length."""
     c = candidates(spark, sf)
-    a, b = c.filter("engine = 0").select("region_id", F.col("confidence").alias("ca")), c.filter("engine = 1").select("region_id", F.col("confidence").alias("cb"))
-    joined = a.join(b, "region_id").withColumn("k", F.col("region_id") % 3)
-    d = stats.deltas(joined, F.round(F.col("ca") - F.col("cb"), 6), "k")
-    return d.select("k", "n", *(F.round(x, 6).alias(x) for x in ("mean", "median", "least", "most")))
+    both = stats.paired(c.filter("engine = 0"), c.filter("engine = 1"), "expected", "confidence").withColumn("k", F.length("expected") % 3)
+    d = stats.deltas(both, F.round(F.col("real") - F.col("made"), 6), "k")
+    return d.select(*_long("k"), "n", *(F.round(x, 6).alias(x) for x in ("mean", "median", "least", "most")))
 
 
 @query
@@ -633,8 +640,8 @@ def large_thin_boxes(spark, sf):
 
 @query
 def enclosure_counts(spark, sf):
-    kind = F.when(F.col("p") % 3 == 0, "balloon").when(F.col("p") % 3 == 1, "caption-box").otherwise("none")
-    return boxes(spark, sf).groupBy(kind.alias("enclosure")).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("p") % 3 == 0, "Balloon").when(F.col("p") % 3 == 1, "CaptionBox").otherwise("None")
+    return boxes(spark, sf).groupBy(g.enclosure_name(kind).alias("enclosure")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -666,7 +673,7 @@ def ground_mode(spark, sf):
 
 @query
 def ink_coverage(spark, sf):
-    return _pixels(spark, sf).groupBy("page_id").agg(F.round(F.avg((F.col("v") < 128).cast("int")), 6).alias("ink"))
+    return detect.ink_coverage(_pixels(spark, sf)).withColumn("ink", F.round("ink", 6))
 
 
 @query
@@ -796,13 +803,21 @@ def provenance_lookup(spark, sf):
 
 @query
 def nested_ledger(spark, sf):
-    """Regions nested in pages, written as JSON and read again."""
-    item = F.struct("region_id", "state", "confidence")
-    pages_ = readings(spark, sf).withColumn("page_id", F.floor(F.col("region_id") / 50)).groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("regions"))
-    text = F.to_json(F.struct("page_id", "regions"), {"ignoreNullFields": "false"})
-    back = F.from_json(text, "page_id bigint, regions array<struct<region_id: bigint, state: string, confidence: double>>")
-    flat = pages_.select(back.alias("b")).select("b.page_id", F.size("b.regions").cast("long").alias("n"), F.posexplode("b.regions").alias("k", "r"))
-    return flat.select("page_id", "n", *_long("k"), "r.region_id", "r.state", "r.confidence")
+    """Series, volumes, pages, panels and regions nested in one record, written as JSON and read again."""
+    levels = {"series": 400, "volume": 200, "page": 50, "panel": 5}
+    keys = list(levels)
+    nested = readings(spark, sf).select(*(F.floor(F.col("region_id") / size).alias(k) for k, size in levels.items()), F.struct("region_id", "state", "confidence").alias("item"))
+    shape = "array<struct<region_id: bigint, state: string, confidence: double>>"
+    while keys:
+        inner = nested.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("items"))
+        key = keys.pop()
+        nested = inner.select(*keys, F.struct(F.col(key).alias("id"), "items").alias("item"))
+        shape = f"struct<id: bigint, items: {shape}>" if not keys else f"array<struct<id: bigint, items: {shape}>>"
+    flat = nested.select(F.from_json(F.to_json("item", {"ignoreNullFields": "false"}), shape).alias("item")).select(F.col("item.id").alias("series"), F.col("item.items").alias("items"))
+    for k in ("volume", "page", "panel"):
+        done = [x for x in flat.columns if x != "items"]
+        flat = flat.select(*done, F.explode("items").alias("i")).select(*done, F.col("i.id").alias(k), F.col("i.items").alias("items"))
+    return flat.select(*levels, F.posexplode("items").alias("k", "r")).select(*levels, *_long("k"), "r.region_id", "r.state", "r.confidence")
 
 
 @query
@@ -820,3 +835,43 @@ def tensor_names(spark, sf):
     side = F.when(n % 3 == 0, "encoder").otherwise("decoder")
     out = F.concat(F.lit("present."), n % 6, F.lit("."), side, F.lit("."), part)
     return table(spark, sf, "nation").select(*_long("n_nationkey"), out.alias("output"), F.regexp_replace(out, r"^present\.", "past_key_values.").alias("input"))
+
+
+@query
+def clip_fixture(spark, sf):
+    """Pages of readings against a cap of 120 regions: what is kept and what is discarded."""
+    drawn = readings(spark, sf).groupBy(F.floor(F.col("region_id") / 150).alias("page_id")).agg(F.count(F.lit(1)).alias("rendered_regions"))
+    return stats.clip(drawn, "rendered_regions").select(F.format_string("page_%05d.png", "page_id").alias("file"), F.format_string("page_%05d.json", "page_id").alias("truth"), "rendered_regions", "expected_kept", "expected_discarded")
+
+
+@query
+def smallest_boxes(spark, sf):
+    return matching.smallest(boxes(spark, sf))
+
+
+@query
+def region_texts(spark, sf):
+    """Regions with the readings of two text layers, as far as a layer has them."""
+    geometry = readings(spark, sf).select("region_id", "l", "t", "r", "b")
+    turns = table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 20).alias("layer_id"), F.col("role").alias("language"), F.struct((F.col("conv_id") * 5 + F.col("turn")).alias("region_id"), "text").alias("reading"))
+    layers = turns.groupBy("layer_id", "language").agg(F.collect_list("reading").alias("regions"))
+    return matching.region_texts(geometry, layers)
+
+
+@query
+def placeholder_scan(spark, sf):
+    """Lines that return a placeholder, in texts with made lines of code after them."""
+    i = F.col("doc_id")
+    code = F.concat(F.lit("\n  // names PLACEHOLDER above\n"), F.when(i % 3 == 0, 'return PLACEHOLDER + "STUB"').when(i % 3 == 1, "return read(page)").otherwise('\t"DUMMY"'))
+    return validate.placeholders(table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), code).alias("code")), "doc_id", "code")
+
+
+@query
+def props_conformance(spark, sf):
+    """JSON objects against a schema that allows no further properties."""
+    rules = {"required": ["k"], "properties": {"k": {"minimum": 0, "maximum": 90}, "kind": {"enum": ["a", "b"]}}, "additionalProperties": False}
+    i = F.col("event_id")
+    more = F.when(i % 4 == 0, '{"kind": "a", ').when(i % 4 == 1, '{"kind": "c", ').when(i % 4 == 2, '{"extra": 1, ').otherwise("{")
+    made = table(spark, sf, "events").select("event_id", F.concat(more, F.substr("props", F.lit(2))).alias("body"))
+    row = made.select("event_id", F.json_object_keys("body").alias("keys"), F.from_json("body", "k bigint, kind string").alias("r"))
+    return row.select("event_id", schema.conforms(rules, lambda n: F.col("r")[n], F.col("keys")).alias("ok"))

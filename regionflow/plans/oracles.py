@@ -124,6 +124,17 @@ judged as (select *, case when state = 'rejected' then 'rejected' when state not
 _COUNTS = "count(*) filter (reason = 'kept') as pairs_written, count(*) filter (reason = 'wrong_class' and state = 'candidate') as skipped_candidate, " + ", ".join(
     f"count(*) filter (reason = '{n}') as skipped_{n}" for n in ("rejected", "too_small", "no_geometry", "low_confidence", "missing_confidence", "empty_label", "wrong_class")
 )
+_NUMBER = "regexp_replace(({0} / 100.0::double)::varchar, '\\.0$', '')"
+_CORNERS = " || ',' || ".join("'{\"x\":' || " + _NUMBER.format(x) + " || ',\"y\":' || " + _NUMBER.format(y) + " || '}'" for x, y in (("li", "ti"), ("ri", "ti"), ("ri", "bi"), ("li", "bi")))
+_RECORDS = _judged("'accepted', 'verified'") + f""", records as (select *, printf('pair_0000_%06d', region_id) as stem, '{{"crop":"crops/' || printf('pair_0000_%06d', region_id) || '.png","direction":"ttb","empty_is_intentional":' || intentional
+    || ',"geometry":{{"normalized_bounds":[' || {_CORNERS} || ']}},"language":"' || language || '","provenance":{{"confidence":' || regexp_replace(confidence::varchar, '\\.0$', '')
+    || ',"envelope_digest":"envelope","item_id":"item","page_digest":"page","publication_id":"publication","region_id":"' || region_id || '","reviewed_by":"reviewer","state":"' || state
+    || '"}},"source":"own-corpus","text":' || to_json(coalesce(text, ''))::varchar || '}}' as record from judged where reason = 'kept')"""
+_MANIFEST = """entries as (select region_id // 50 as page_id, string_agg('{"crop":"crops/' || stem || '.png","crop_digest":"sha256:' || sha256(concat_ws('|', region_id // 50, cx, cy, cw, ch)) || '","record":"' || stem || '.json","record_digest":"sha256:' || sha256(record) || '","region_id":"' || region_id || '"}', ',' order by stem) as listed from records group by 1),
+counters as (select region_id // 50 as page_id, """ + _COUNTS + """ from judged group by 1),
+unsigned as (select page_id, pairs_written as pairs, '{"dataset_class":"gold","envelope_digest":"envelope","item_id":"item","manifest_digest":"","page_digest":"page-' || page_id || '","policy_version":"curation-training-v1","publication_id":"publication","records":[' || coalesce(listed, '')
+  || '],"report":{"pairs_written":' || pairs_written || """ + " || ".join(f"',\"skipped_{n}\":' || skipped_{n}" for n in ("candidate", "empty_label", "low_confidence", "missing_confidence", "no_geometry", "rejected", "too_small", "wrong_class")) + """
+  || '},"reviewed_by":"reviewer","rights_grant_id":"grant","source":"own-corpus","split":"train","split_group":"group","version":"1.0"}' as text from counters left join entries using (page_id))"""
 _SHAPE = "[[x, y], [x + w, y + h / 4.0], [x + w / 2.0, y + h], [x, y + h / 2.0]]"
 _ISSUES = BOXES + """, issues as (
   select page_id, 'invalid-panel-' || idx as id, 'invalid-bounds' as issue_type, 'error' as severity from boxes where p % 40 = 0
@@ -150,7 +161,7 @@ SQL: dict[str, str] = {
     "furigana_brackets": "select doc_id, '漢字[かん' || doc_id || ']は' || case when doc_id % 3 = 0 then '字[じ]　ｘ' || case when doc_id % 5 = 0 then '］！' else '' end when doc_id % 3 = 1 then '生．．．' || case when doc_id % 5 = 0 then '読[]！' else '読(' end else 'ａｂ' || case when doc_id % 5 = 0 then '］！' else '' end end as out from documents",
     "kanji_flags": "select n_nationkey::bigint as n_nationkey, n_nationkey % 2 = 0 as kanji from nation",
     "direction_parse": f"with {PANELS} select page_id, direction, case when page_id % 2 = 0 then 'ttb' else 'ltr' end as writing from panels",
-    "path_sanitise": "select page_id, 'see ' || regexp_extract('/' || url, '[^/]*$') || ' in ~/notes.txt' as out from pages",
+    "path_sanitise": "select page_id, 'see ' || url || '  in a reference/b ~/c' as out from pages",
     "id_formats": "select page_id, 'co-' || case when page_id < 1000 then lpad(page_id::varchar, 3, '0') else page_id::varchar end as co, 'pair_' || lpad((page_id % 50)::varchar, 4, '0') || '_' || lpad(page_id::varchar, 6, '0') as pair, 'mask-' || page_id as mask from pages",
     "visible_lengths": f"with c as (select doc_id, regexp_replace(text, '{SPACE}', '', 'g') as v from documents), u as (select doc_id, ch, min(pos) as first from (select doc_id, unnest(string_split(v, '')) as ch, generate_subscripts(string_split(v, ''), 1) as pos from c) where ch <> '' and not regexp_matches(ch, '^[a-z.,]$') group by all) select c.doc_id, length(v) as n, coalesce(a.s, '') as uncovered from c left join (select doc_id, string_agg(ch, '' order by first) as s from u group by 1) a using (doc_id)",
     "cer_per_item": f"with {CANDIDATES} select region_id, engine::bigint as engine, round(cer, 6) as cer, case when answer = expected then 'exact' when starts_with(answer, expected) then 'OVERRUN' else 'misread' end as verdict from scored",
@@ -161,7 +172,7 @@ SQL: dict[str, str] = {
     "panel_decision": f"with {CANDIDATES}, r as (select *, row_number() over (partition by region_id order by confidence desc, engine) as k, exp(-coalesce(brier, 0.1)) as wt from candidates), d as (select region_id, max(answer) filter (k = 1) as a, max(answer) filter (k = 2) as b, max(code) filter (k = 1) as a_code, max(code) filter (k = 2) as b_code, max(confidence) as confidence, sum(confidence * wt) / sum(wt) as wc from r group by 1), e as (select *, levenshtein(a_code, b_code)::double / greatest(length(a), length(b)) as dv from d) select region_id, a as selected_text, confidence, round(wc, 6) as weighted_confidence, wc >= 0.7 as is_validated, round(dv, 6) as divergence, dv >= 0.2 as needs_review from e",
     "brier_weights": "select event_id, round(exp(-least(greatest((value - 20) / 50, 0), 1)), 6) as weight from events",
     "confidence_geomean": f"with {READINGS} select page_id, round(coalesce(exp(avg(ln(greatest(confidence, 1e-7))) filter (confidence is not null)), 0), 6) as confidence, count(confidence) as n from readings group by 1",
-    "page_rollup": "with r as (select conv_id // 8 as page_id, conv_id as region, string_agg(text, '' order by turn) as text, avg((conv_id * 13 + turn) % 100 / 100.0::double) as c from conversations group by all) select page_id, count(*) as regions, string_agg(text, chr(10) order by region) as text, round(avg(c), 6) as confidence from r group by 1",
+    "page_rollup": "with r as (select conv_id // 8 as page_id, conv_id as region, string_agg(text, '' order by turn) as text, avg((conv_id * 13 + turn) % 100 / 100.0::double) as c, sum((conv_id * 7 + turn) % 50 / 10.0::double) as d from conversations group by all) select page_id, count(*) as regions, string_agg(text, chr(10) order by region) as text, round(avg(c), 6) as confidence, round(sum(d), 2) as duration_ms from r group by 1",
     "box_metrics": f"with {BOXES} select page_id, idx, w * h as area, round(w::double / h, 6) as aspect, round(x / 1000.0, 6)::double as nx, round(y / 1400.0::double, 6) as ny, round(w / 1000.0, 6)::double as nw, round(h / 1400.0::double, 6) as nh from boxes",
     "dual_rect": f"with {PANELS}, s as (select *, page_id % 3 * 500 as pw, page_id % 2 * 700 as ph from panels) select page_id, coalesce(round(x::double / nullif(pw, 0), 6), 0) as nx, coalesce(round(y::double / nullif(ph, 0), 6), 0) as ny, coalesce(round(w::double / nullif(pw, 0), 6), 0) as nw, coalesce(round(h::double / nullif(ph, 0), 6), 0) as nh from s",
     "polygon_area": f"with {BOXES} select page_id, idx, round(abs(x * (y + h / 4.0) - (x + w) * y + (x + w) * (y + h) - (x + w / 2.0) * (y + h / 4.0) + (x + w / 2.0) * (y + h / 2.0) - x * (y + h) + x * y - x * (y + h / 2.0)) / 2, 4)::double as area from boxes",
@@ -210,7 +221,7 @@ select page_id, idx, round(sum(case protection when 'hard' then common * 1000.0:
     "scene_status": f"with {_STATUS} select * from status",
     "scene_counts": f"with {_STATUS} select (select count(*) from panels) as pages, count(*) as regions, count(*) filter (idx % 2 = 0) as balloon_masks, (select case when bool_or(status = 'invalid') then 'invalid' when bool_or(status = 'warning') then 'warning' else 'valid' end from status) as status from boxes",
     "speaker_attribution": f"with {BOXES}, d as (select page_id * 100 + idx as id, (p % 40)::double as da, sqrt((s % 30) ** 2 + (s % 4) ** 2) as db from boxes), q as (select id, 1 - da / nullif(da + db, 0) as pa, 1 - db / nullif(da + db, 0) as pb from d) select id, case when coalesce(pa >= pb, false) then 'a' else 'b' end as speaker, round(case when coalesce(pa >= pb, false) then pa else pb end, 6) as confidence, round(abs(pa - pb), 6) as margin, case when abs(pa - pb) < 0.15 then 'human-review-required' else 'resolved' end as status from q",
-    "ambiguity_margin": f"with {CANDIDATES} select region_id, round(max(confidence) - min(confidence), 6) as margin, case when round(max(confidence) - min(confidence), 6) < 0.15 then 'human-review-required' else 'resolved' end as status from candidates group by 1",
+    "ambiguity_margin": f"with {CANDIDATES}, p as (select region_id, max(confidence) filter (engine = 0) as a, case when region_id % 5 <> 0 then max(confidence) filter (engine = 1) end as b from candidates group by 1) select region_id, round(abs(a - b), 6) as margin, case when abs(a - b) < 0.15 then 'human-review-required' else 'resolved' end as status from p",
     "export_reasons": f"with {_judged(chr(39) + 'accepted' + chr(39) + ', ' + chr(39) + 'verified' + chr(39))} select region_id, reason from judged",
     "export_report": f"with {_judged(chr(39) + 'accepted' + chr(39) + ', ' + chr(39) + 'verified' + chr(39))} select {_COUNTS} from judged",
     "export_report_silver": f"with {_judged(chr(39) + 'candidate' + chr(39))} select {_COUNTS} from judged",
@@ -223,7 +234,7 @@ select page_id, idx, round(sum(case protection when 'hard' then common * 1000.0:
     "beam_select": f"with {_BEAMS}, n as (select vec_id, 0 as kind, pos, list_append(tokens, token) as tokens, logprob + gain as logprob, token = 3 as finished from beams join cands using (vec_id, beam) where not finished union all select vec_id, 1, beam, tokens, logprob, finished from beams where finished), r as (select *, row_number() over (partition by vec_id order by logprob desc, kind, pos) - 1 as beam from n) select vec_id, beam, array_to_string(tokens, ',') as tokens, round(logprob, 4) as logprob, finished from r where beam < 4",
     "beam_best": f"with {_BEAMS}, s as (select vec_id, beam, logprob / pow(len(tokens), 2.0) as score from beams) select vec_id, arg_max(beam, (score, beam)) as beam, round(max(score), 6) as score from s group by 1",
     "sequence_confidence": f"with {_BEAMS} select vec_id, beam, round(least(greatest(exp(logprob / len(tokens)), 0), 1), 6) as confidence from beams",
-    "delta_stats": f"with {CANDIDATES}, d as (select a.region_id % 3 as k, round(a.confidence - b.confidence, 6) as d from candidates a join candidates b using (region_id) where a.engine = 0 and b.engine = 1) select k, count(*) as n, round(avg(d), 6) as mean, round(list_sort(list(d))[len(list(d)) // 2 + 1], 6) as median, min(d) as least, max(d) as most from d group by 1",
+    "delta_stats": f"with {CANDIDATES}, m as (select expected, max(confidence) as made from candidates where engine = 1 group by 1), d as (select (length(expected) % 3)::bigint as k, round(confidence - made, 6) as d from candidates join m using (expected) where engine = 0) select k, count(*) as n, round(avg(d), 6) as mean, round(list_sort(list(d))[len(list(d)) // 2 + 1], 6) as median, min(d) as least, max(d) as most from d group by 1",
     "length_buckets": "with w as (select len(string_split(text, ' ')) as label, len(string_split(text, ' ')) + turn % 3 * (conv_id % 2) as o from conversations), b as (select *, case when label between 1 and 8 then (1, 8) when label between 9 and 14 then (9, 14) when label between 15 and 22 then (15, 22) when label between 23 and 34 then (23, 34) when label between 35 and 200 then (35, 200) end as b from w) select b[1]::bigint as low, b[2]::bigint as high, count(*) as n, round(avg(o), 6) as mean_out, round(avg(o - label), 6) as mean_over, count(*) filter (o = label) as exact from b where b is not null group by b",
     "sweep_best": "with m as (select l_orderkey % 5 as density, l_linenumber::bigint as radius, round(avg(l_partkey % 11), 9) as mean from lineitem group by all) select density, arg_max(radius, (mean, -radius)) as radius, round(max(mean), 6) as mean from m group by 1",
     "sweep_pivot": "select l_orderkey % 5 as density, " + ", ".join(f"round(avg(l_partkey % 11) filter (l_linenumber = {k}), 6) as r{k}" for k in range(1, 8)) + " from lineitem group by 1",
@@ -254,7 +265,15 @@ select page_id, idx, round(sum(case protection when 'hard' then common * 1000.0:
     "type_sizes": f"with {BOXES}, a as (select page_id, idx, p % 40 + 1 as n, case when idx % 2 = 0 then h else w end as al, case when idx % 2 = 0 then w else h end as ac from boxes), r as (select *, greatest(round(sqrt(n * ac::double / al)), 1) as runs from a) select page_id, idx, runs::bigint as runs, round(least(greatest(al / greatest(ceil(n / runs), 1), 12.0), 64.0), 4)::double as size from r",
     "scan_defects": "select page_id, floor((22 + ('0x' || substr(md5(page_id || ':0'), 1, 8))::bigint / 4294967296.0::double * (56 - (22))))::bigint as jpeg_quality, round((-4.0 + ('0x' || substr(md5(page_id || ':1'), 1, 8))::bigint / 4294967296.0::double * (4.0 - (-4.0))), 6) as rotate_deg, round((0.8 + ('0x' || substr(md5(page_id || ':2'), 1, 8))::bigint / 4294967296.0::double * (2.2 - (0.8))), 6) as blur_sigma, round((6.0 + ('0x' || substr(md5(page_id || ':3'), 1, 8))::bigint / 4294967296.0::double * (22.0 - (6.0))), 6) as noise_sd from pages",
     "provenance_lookup": "select doc_id as region_id, p as pointer, case p when '/text' then 'r' || doc_id % 3 else 'r9' end as record, case p when '/text' then 'engine-' || doc_id % 3 end as engine from documents, unnest(['/text', '/bounds']) as u(p)",
-    "nested_ledger": f"with {READINGS.replace('doc_id % 97', 'doc_id // 50')} select page_id, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by region_id) - 1 as k, region_id, state, confidence from readings",
+    "nested_ledger": f"with {READINGS} select region_id // 400 as series, region_id // 200 as volume, region_id // 50 as page, region_id // 5 as panel, row_number() over (partition by region_id // 5 order by region_id) - 1 as k, region_id, state, confidence from readings",
     "label_kinds": "select count(*) filter (role = 'user') as kept, count(*) filter (role is distinct from 'user') as excluded from conversations",
     "tensor_names": "with n as (select n_nationkey::bigint as n_nationkey, n_nationkey % 6 || '.' || case when n_nationkey % 3 = 0 then 'encoder' else 'decoder' end || '.' || case when n_nationkey % 2 = 0 then 'key' else 'value' end as t from nation) select n_nationkey, 'present.' || t as output, 'past_key_values.' || t as input from n",
+    "clip_fixture": "with p as (select doc_id // 150 as page_id, count(*) as n from documents group by 1) select printf('page_%05d.png', page_id) as file, printf('page_%05d.json', page_id) as truth, n as rendered_regions, least(n, 120) as expected_kept, greatest(n - 120, 0) as expected_discarded from p",
+    "smallest_boxes": f"with {BOXES} select page_id, idx, x, y, w, h, w * h as area from boxes order by area, page_id, idx limit 14",
+    "region_texts": f"with {READINGS} select region_id, li / 100.0::double as l, ti / 100.0::double as t, ri / 100.0::double as r, bi / 100.0::double as b, conv_id // 20 as layer_id, role as language, c.text from readings left join conversations c on region_id = conv_id * 5 + turn",
+    "placeholder_scan": "with l as (select doc_id, len(string_split(coalesce(text, ''), chr(10))) + 2 as line from documents) select doc_id, line, unnest(case doc_id % 3 when 0 then ['PLACEHOLDER', '\"STUB\"'] when 2 then ['\"DUMMY\"'] else [] end) as word from l",
+    "props_conformance": "select event_id, event_id % 4 in (0, 3) and coalesce((props->>'k')::bigint between 0 and 90, false) as ok from events",
+    "export_records": f"with {_RECORDS} select region_id, record from records",
+    "export_record_digest": f"with {_RECORDS} select region_id, 'sha256:' || sha256(record) as record_digest from records",
+    "manifest_digest": f"with {_RECORDS.replace(chr(34) + 'page' + chr(34), chr(34) + chr(39) + ' || ' + chr(39) + 'page-' + chr(39) + ' || region_id // 50 || ' + chr(39) + chr(34))}, {_MANIFEST} select page_id, pairs, 'sha256:' || sha256(text) as manifest_digest from unsigned",
 }

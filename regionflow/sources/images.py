@@ -75,6 +75,10 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
     return out[step:].astype(np.uint8)
 
 
+# Fixed value: bits behind the point of a filter weight.
+WEIGHT_BITS = 22
+
+
 def luma(rgb: np.ndarray) -> np.ndarray:
     r, g, b, half = LUMA
     x = rgb.astype(np.int64)
@@ -89,15 +93,31 @@ def encode(page: np.ndarray) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _triangle(length: int, size: int) -> np.ndarray:
+    """size x length fixed-point weights of a triangle filter that widens with the scale when it shrinks."""
+    scale = length / size
+    reach = max(scale, 1.0)
+    centre = (np.arange(size) + 0.5) * scale
+    low, high = np.maximum((centre - reach + 0.5).astype(int), 0), np.minimum((centre + reach + 0.5).astype(int), length)
+    at = np.arange(length)
+    weight = np.clip(1 - np.abs((at[None] - centre[:, None] + 0.5) / reach), 0, None) * ((at >= low[:, None]) & (at < high[:, None]))
+    return np.floor(weight / weight.sum(axis=1, keepdims=True) * (1 << WEIGHT_BITS) + 0.5).astype(np.int64)
+
+
+def resize(page: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A grey page scaled by an antialiased bilinear filter, columns first, rounded to 8 bits after each direction."""
+    half = 1 << (WEIGHT_BITS - 1)
+    out = page.astype(np.int64)
+    if page.shape[1] != width:
+        out = np.clip((out @ _triangle(page.shape[1], width).T + half) >> WEIGHT_BITS, 0, 255)
+    if page.shape[0] != height:
+        out = np.clip((_triangle(page.shape[0], height) @ out + half) >> WEIGHT_BITS, 0, 255)
+    return out.astype(np.uint8)
+
+
 def normalise(page: np.ndarray, size: int = 224) -> np.ndarray:
-    """A page scaled to size x size (bilinear) as three equal planes from -1 to 1."""
-    height, width = page.shape
-    y, x = ((np.arange(size) + 0.5) * n / size - 0.5 for n in (height, width))
-    y0, x0 = (np.clip(np.floor(v).astype(int), 0, n - 1) for v, n in ((y, height), (x, width)))
-    y1, x1 = np.minimum(y0 + 1, height - 1), np.minimum(x0 + 1, width - 1)
-    fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
-    p = page.astype(float)
-    v = (p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx) * (1 - fy) + (p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx) * fy
+    """A page scaled to size x size as three equal planes from -1 to 1."""
+    v = resize(page, size, size).astype(np.float32)
     return np.repeat(((v / 255 - 0.5) / 0.5)[None].astype(np.float32), 3, axis=0)
 
 
@@ -157,3 +177,14 @@ def crops(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["key", "png"])
 
     return pages.select("key", "width", "height", "pixels", "x", "y", "w", "h").mapInArrow(run, "key string, png binary")
+
+
+def crops_of(where: DataFrame, page: np.ndarray) -> DataFrame:
+    """where (key, x, y, w, h) on one page to (key, png); the page goes to each task once, not with each row."""
+
+    def run(batches):
+        for batch in batches:
+            out = [encode(page[y : y + h, x : x + w]) for x, y, w, h in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["key", "png"])
+
+    return where.select("key", "x", "y", "w", "h").mapInArrow(run, "key string, png binary")

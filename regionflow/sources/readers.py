@@ -9,8 +9,8 @@ from regionflow.operators.vocab import SPECIALS
 from regionflow.sources import schema
 from regionflow.sources.images import decode_images
 
-#: Tokens that a vocabulary may have.
-MOST_TOKENS = 2**32 - 1
+# The files of a model.
+MODEL_FILES = ("encoder_model.onnx", "decoder_model.onnx", "decoder_with_past_model.onnx", "vocab.txt")
 
 
 def images(spark: SparkSession, paths: list[str], pattern: str = "*.{png,pgm,jpg}", recursive: bool = False) -> DataFrame:
@@ -93,6 +93,16 @@ def scene_tables(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def model_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name to path of the files that a model needs; the first that is missing is an error that names it. Contents aren't read."""
+    listed = spark.read.format("binaryFile").load(folder).select("path")
+    found = {r["path"].rsplit("/", 1)[1]: r["path"] for r in listed.filter(F.element_at(F.split("path", "/"), -1).isin(*MODEL_FILES)).collect()}
+    for name in MODEL_FILES:
+        if name not in found:
+            raise ValueError(f"{name} is missing from the model directory {folder}")
+    return {name: found[name] for name in MODEL_FILES}
+
+
 def settings(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """A CSV table with a header; quotes are doubled inside quoted fields."""
     return spark.read.schema(columns).option("header", "true").option("quote", '"').option("escape", '"').csv(path)

@@ -42,11 +42,12 @@ def in_enum(value: Column, name: str) -> Column:
     return value.isin(*ENUMS[name])
 
 
-def conforms(schema: dict[str, Any], value: Callable[[str], Column], optional: bool = False) -> Column:
+def conforms(schema: dict[str, Any], value: Callable[[str], Column], keys: Column | None = None) -> Column:
     """Does a row satisfy a JSON Schema of an object? `value` gives the column of a property.
 
     Understood: required, properties with enum, const, minimum, maximum, exclusive bounds, minLength, pattern,
-    items, nested objects, and if/then. A property that is null counts as absent.
+    items, nested objects, and if/then. A property that is null counts as absent. Where additionalProperties is false,
+    `keys`, the names that the object has, may hold only names of properties.
     """
     rules = [value(name).isNotNull() for name in schema.get("required", ())]
     for name, sub in schema.get("properties", {}).items():
@@ -58,6 +59,9 @@ def conforms(schema: dict[str, Any], value: Callable[[str], Column], optional: b
     for branch in schema.get("allOf", ()) if "if" not in schema else (schema, *schema.get("allOf", ())):
         if "if" in branch and "then" in branch:
             rules.append(~conforms(branch["if"], value) | conforms(branch["then"], value))
+    if schema.get("additionalProperties") is False and keys is not None:
+        known = F.array(*(F.lit(n) for n in schema.get("properties", {}))) if schema.get("properties") else F.array().cast("array<string>")
+        rules.append(F.size(F.array_except(keys, known)) == 0)
     out = F.lit(True)
     for rule in rules:
         out = out & F.coalesce(rule, F.lit(False))

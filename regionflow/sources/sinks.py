@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.operators import export, vocab
+from regionflow.sources import images
 
 
 def write_json(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
@@ -20,14 +22,23 @@ def write_vocabulary(df: DataFrame, path: str, floor: int, text: str = "text") -
     vocab.report(df, floor, text).write.mode("errorifexists").json(f"{path}/report")
 
 
-def write_export(readings: DataFrame, request: export.Request, size: tuple[int, int], path: str) -> None:
-    """Records, a report of every rejection, and a manifest whose digest covers all records."""
+def write_export(readings: DataFrame, request: export.Request, page: np.ndarray, path: str) -> None:
+    """Crops, records, a report of every rejection, and a manifest whose digest covers all records, for one page.
+
+    Crops are rows (key, png) of a table, so that a corpus doesn't become as many files; their keys are the paths that the
+    records name. A crop that occurs twice is an error before any record is written.
+    """
     request.check()
-    judged = export.reasons(readings, request, *size)
-    made = export.records(judged, request)
-    made.write.mode("errorifexists").json(f"{path}/records")
+    judged = export.reasons(readings, request, page.shape[1], page.shape[0])
+    where = export.records(judged, request).select(F.col("crop_name").alias("key"), "crop.*")
+    cut = images.crops_of(where, page)
+    cut.write.mode("errorifexists").parquet(f"{path}/crops")
+    digests = readings.sparkSession.read.parquet(f"{path}/crops").select(F.col("key").alias("crop_name"), F.concat(F.lit("sha256:"), F.sha2("png", 256)).alias("crop_digest"))
+    named = export.named(judged).join(digests, "crop_name", "left").withColumn("page_id", F.lit(0))
+    manifest = export.manifests(named, request, "page_id", F.col("crop_digest"))
+    manifest.select("pairs", "manifest", "manifest_digest").write.mode("errorifexists").json(f"{path}/manifest")
+    export.records(judged, request).select("record_name", "record", "record_digest").write.mode("errorifexists").json(f"{path}/records")
     export.report(judged).write.mode("errorifexists").json(f"{path}/report")
-    export.manifest_digest(made, request).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def write_detection_set(pages: DataFrame, path: str, valid: Column) -> None:
@@ -42,7 +53,9 @@ def write_detection_set(pages: DataFrame, path: str, valid: Column) -> None:
 
 
 def page_results(readings: DataFrame) -> DataFrame:
-    """One nested result a page: regions in order, text joined by line breaks, mean confidence (null if nothing is scored)."""
+    """One nested result a page: regions in order, text joined by line breaks, mean confidence (null if nothing is scored),
+    and, where readings have `duration_ms`, their sum rounded to 2 digits."""
     item = F.struct("idx", "text", "confidence")
-    out = readings.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("regions"), F.round(F.avg("confidence"), 4).alias("confidence"))
-    return out.select("page_id", "regions", F.array_join(F.col("regions.text"), "\n").alias("text"), "confidence")
+    timed = [F.round(F.sum("duration_ms"), 2).alias("duration_ms")] if "duration_ms" in readings.columns else []
+    out = readings.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("regions"), F.round(F.avg("confidence"), 4).alias("confidence"), *timed)
+    return out.select("page_id", "regions", F.array_join(F.col("regions.text"), "\n").alias("text"), "confidence", *(["duration_ms"] if timed else []))

@@ -1,9 +1,16 @@
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+import random
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regionflow.functions import canonical
 from regionflow.operators import decoding, detect, export, matching, panel, recognise, stats, tokenizer, validate, vocab
 
 BOX = "page_id bigint, idx bigint, x bigint, y bigint, w bigint, h bigint"
@@ -135,14 +142,68 @@ def test_requests_are_refused(change):
         export.Request(**{"reviewed_by": "x"} | change).check()
 
 
-def test_manifest_digest(spark):
-    def made(request, rows):
-        return export.manifest_digest(export.records(export.reasons(spark.createDataFrame(rows, READING), request, 100, 100), request), request).first()
+def test_manifests(spark):
+    def made(request, rows, digests="region_id"):
+        judged = export.reasons(spark.createDataFrame(rows, READING), request, 100, 100).withColumn("page_id", F.floor(F.col("region_id") / 10))
+        return {r["page_id"]: r for r in export.manifests(judged, request, "page_id", F.col(digests).cast("string")).collect()}
 
-    a = made(GOLD, [reading(1), reading(2)])
-    assert a == made(GOLD, [reading(2), reading(1)]) and a["pairs"] == 2
+    a = made(GOLD, [reading(1), reading(2), reading(11, state="rejected")])
+    assert a == made(GOLD, [reading(11, state="rejected"), reading(2), reading(1)]) and (a[0]["pairs"], a[1]["pairs"]) == (2, 0)
     assert a != made(export.Request(reviewed_by="someone", page_digest="other"), [reading(1), reading(2)])
-    assert '"reviewed_by":"someone"' in export.records(export.reasons(spark.createDataFrame([reading(1)], READING), GOLD, 100, 100), GOLD).first()["record"]
+    manifest = json.loads(a[0]["manifest"])
+    signed, manifest["manifest_digest"] = manifest["manifest_digest"], ""
+    assert a[0]["manifest"] == json.dumps(manifest | {"manifest_digest": signed}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert signed == "sha256:" + hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() == a[0]["manifest_digest"]
+    assert [r["crop"] for r in manifest["records"]] == ["crops/pair_0000_000001.png", "crops/pair_0000_000002.png"] and manifest["report"]["pairs_written"] == 2
+    with pytest.raises(Exception, match="share a crop"):
+        made(GOLD, [reading(1), reading(2)], "language")
+
+
+def test_records_are_canonical(spark):
+    def record(request, row):
+        return export.records(export.reasons(spark.createDataFrame([row], READING), request, 100, 100), request).first()["record"]
+
+    text = 'é"\\ \n\x01\x1f漢'
+    out = record(GOLD, reading(1, text=text, confidence=1.0, bounds=(0.0, 1e-7, 1.0, 0.25)))
+    assert json.loads(out)["text"] == text and '"confidence":1,' in out and '{"x":0,"y":1e-7}' in out and "\\u0001\\u001f" in out
+    assert '"reviewed_by":"someone"' in out and "reviewed_by" not in record(export.Request(dataset_class="silver"), reading(1, state="candidate"))
+
+
+def ecmascript(x: float) -> str:
+    mantissa, _, power = repr(abs(x)).partition("e")
+    whole, _, part = mantissa.partition(".")
+    n = len(whole) + int(power or 0) - (len(whole + part) - len((whole + part).lstrip("0")))
+    d = (whole + part).strip("0")
+    if len(d) <= n <= 21:
+        out = d.ljust(n, "0")
+    elif 0 < n <= 21:
+        out = d[:n] + "." + d[n:]
+    elif -6 < n <= 0:
+        out = "0." + "0" * -n + d
+    else:
+        out = d[0] + ("." + d[1:] if d[1:] else "") + f"e{n - 1:+d}"
+    return "0" if x == 0 else ("-" if x < 0 else "") + out
+
+
+def test_canonical_numbers(spark):
+    rng = random.Random(3)
+    found = [struct.unpack(">d", rng.randbytes(8))[0] for _ in range(3000)]
+    xs = [0.0, -0.0, 1.0, 1e21, 1e20, 1e-6, 1e-7, 2e23, 8.41e21, 5e-324, 1.7976931348623157e308, 333333333.33333329, -1.8379700992931924e18] + [k / 100 for k in range(101)]
+    xs += [x for x in found if math.isfinite(x)] + [rng.random() for _ in range(2000)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", canonical.number(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [ecmascript(r["x"]) for r in rows]
+    assert spark.range(1).select(canonical.number(F.lit(None))).first()[0] == "null"
+    with pytest.raises(Exception, match="finite"):
+        spark.createDataFrame([(math.inf,)], "x double").select(canonical.number(F.col("x"))).collect()
+
+
+def test_first_panel_and_texts(spark):
+    regions = boxes(spark, [(0, 0, 10, 10), (90, 90, 4, 4)])
+    panels = spark.createDataFrame([(1, 2, 0, 0, 50, 50), (1, 1, 0, 0, 20, 20)], "page_id bigint, panel bigint, x bigint, y bigint, w bigint, h bigint")
+    assert sorted(r["panel"] or 0 for r in matching.first_panel(regions, panels).collect()) == [0, 1]
+    layers = spark.createDataFrame([(7, "ja", [(1, "a"), (9, "b")])], "layer_id bigint, language string, regions array<struct<region_id: bigint, text: string>>")
+    rows = matching.region_texts(spark.range(1, 3).withColumnRenamed("id", "region_id"), layers).orderBy("region_id").collect()
+    assert [(r["region_id"], r["text"]) for r in rows] == [(1, "a"), (2, None)]
 
 
 def test_beams(spark):

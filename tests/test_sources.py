@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -151,14 +152,54 @@ def test_export_sink(spark, tmp_path):
     rows = [(1, "テスト", "ja", "accepted", 0.9, 0.1, 0.1, 0.9, 0.9, False), (2, "x", "ja", "rejected", 0.9, 0.1, 0.1, 0.9, 0.9, False)]
     df = spark.createDataFrame(rows, "region_id bigint, text string, language string, state string, confidence double, l double, t double, r double, b double, intentional boolean")
     request = export.Request(reviewed_by="x")
-    sinks.write_export(df, request, (100, 100), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "records")).count() == 1
-    assert spark.read.json(str(tmp_path / "out" / "report")).first()["skipped_rejected"] == 1
-    assert spark.read.json(str(tmp_path / "out" / "manifest")).first()["pairs"] == 1
+    page = np.arange(100 * 120, dtype=np.uint32).reshape(100, 120).astype(np.uint8)
+    out = tmp_path / "out"
+    sinks.write_export(df, request, page, str(out))
+    assert spark.read.json(str(out / "report")).first()["skipped_rejected"] == 1
+    record = spark.read.json(str(out / "records")).collect()
+    crop = spark.read.parquet(str(out / "crops")).collect()
+    assert len(record) == len(crop) == 1 and json.loads(record[0]["record"])["crop"] == crop[0]["key"]
+    assert (images.decode(bytes(crop[0]["png"])) == page[10:90, 12:108]).all()
+    manifest = json.loads(spark.read.json(str(out / "manifest")).first()["manifest"])
+    assert manifest["records"][0]["crop_digest"] == "sha256:" + hashlib.sha256(crop[0]["png"]).hexdigest()
+    again = spark.createDataFrame([rows[0], (3, *rows[0][1:])], df.schema)
+    with pytest.raises(Exception, match="share a crop"):
+        sinks.write_export(again, request, page, str(tmp_path / "twice"))
+    assert not (tmp_path / "twice" / "records").exists()
+
+
+def test_resize_averages(spark):
+    page = np.random.default_rng(1).integers(0, 256, (40, 60)).astype(np.uint8)
+    assert (images.resize(page, 60, 40) == page).all()
+    assert (images.resize(np.full((9, 7), 200, np.uint8), 3, 20) == 200).all()
+    small = images.resize(page, 6, 4)
+
+    def brute(line, size):
+        scale = len(line) / size
+        out = []
+        for i in range(size):
+            w = [max(0.0, 1 - abs(k + 0.5 - (i + 0.5) * scale) / max(scale, 1)) for k in range(len(line))]
+            out.append(round(sum(a * b for a, b in zip(w, map(float, line), strict=True)) / sum(w)))
+        return out
+
+    across = [brute(row, 6) for row in page]
+    want = np.array([brute([r[c] for r in across], 4) for c in range(6)]).T
+    assert np.abs(small.astype(int) - want).max() <= 1
+
+
+def test_model_files(spark, tmp_path):
+    for name in readers.MODEL_FILES[:-1]:
+        (tmp_path / name).write_bytes(b"x")
+    with pytest.raises(ValueError, match="vocab.txt is missing"):
+        readers.model_files(spark, str(tmp_path))
+    (tmp_path / "vocab.txt").write_text("[PAD]")
+    assert list(readers.model_files(spark, str(tmp_path))) == list(readers.MODEL_FILES)
 
 
 def test_page_results(spark):
     df = spark.createDataFrame([(1, 2, "b", None), (1, 1, "a", 0.5), (2, 1, "c", None)], "page_id bigint, idx bigint, text string, confidence double")
+    timed = sinks.page_results(df.withColumn("duration_ms", F.lit(1.5))).orderBy("page_id").collect()
+    assert [r["duration_ms"] for r in timed] == [3.0, 1.5]
     rows = {r["page_id"]: r for r in sinks.page_results(df).collect()}
     assert rows[1]["text"] == "a\nb" and rows[1]["confidence"] == 0.5 and rows[2]["confidence"] is None
 
