@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from regionflow.llm import perplexity as px
 
@@ -140,3 +141,31 @@ def test_symbols_are_code_points():
 def test_empty_and_clashing(empty, clashing):
     assert px.judge(empty).count() == 0
     assert px.judge(clashing).count() == clashing.count()
+
+
+def test_large_languages_keep_all_grams(spark):
+    """More 4-grams of one count than the model was once cut to."""
+    counts = spark.range(px.LARGEST + 100_000).select(F.lit("xx").alias("lang"), (F.col("id") * 1_000_003).alias("gram"), F.lit(1).cast("bigint").alias("n"))
+    assert len(px.train(counts)["xx"].keys[-1]) == px.LARGEST + 100_000
+
+
+class CodePoints(str):
+    def encode(self):
+        return [ord(c) for c in self]
+
+
+@pytest.mark.parametrize("largest", [0, 150, px.TABLE])
+def test_perplexity_equals_the_definition_whatever_is_broadcast(spark, monkeypatch, largest):
+    """Also where most 4-grams go through the join, in rows with equal ids, and no count is pruned."""
+    monkeypatch.setattr(px.pruned, "__defaults__", (20,))
+    texts = {"en": ["the cat sat on the mat.", "a cat ran; the dog sat!", "no 42 cats ### here", "the theme of the cat", "zq"], None: ["один два", "два кота", "x"]}
+    rows = [(1, t, lang) for lang, of in texts.items() for t in of] + [(1, "", "en"), (None, None, None), (1, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    want = []
+    for lang in texts:
+        of = [t for _, t, own in rows if own == lang and t]
+        brute = BruteModel([CodePoints(t) for t in of])
+        for s in ([px.START] * 3 + CodePoints(t).encode() for t in of):
+            want.append(math.exp(-sum(math.log(brute.p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / (len(s) - 3)))
+    got = [r["perplexity"] for r in px.judge(df, largest=largest).collect()]
+    assert got.count(None) == 2 and sorted(p for p in got if p is not None) == pytest.approx(sorted(want), rel=1e-5)
